@@ -15,7 +15,7 @@ class Query:
     sql: str | None = None
 
 
-MODULES = ("indicators",)
+MODULES = ("indicators", "tape", "joins")
 
 
 def all_queries() -> dict[str, Query]:
