@@ -38,9 +38,9 @@ def grid(spark, d):
 GRID = "grid AS (SELECT symbol, t + 1800 AS qt FROM bars)"
 
 
-@q("J01_asof_derivatives", v.base(v.DERIVS_SQL) + f"SELECT symbol, t, {R('funding_rate')}, {R('open_interest')}, {R('ls_ratio_top')} FROM dbars")
+@q("J01_asof_derivatives", v.base(v.DERIVS_SQL) + f"SELECT symbol, t, {R('funding_rate * 10000', 'funding_rate')}, {R('open_interest')}, {R('ls_ratio_top')} FROM dbars")
 def _(spark, d):
-    return v.r6(v.bars_with_derivs(spark, d), "symbol", "t", funding_rate=None, open_interest=None, ls_ratio_top=None)
+    return v.r6(v.bars_with_derivs(spark, d), "symbol", "t", funding_rate=F.col("funding_rate") * 10000, open_interest=None, ls_ratio_top=None)
 
 
 @q("J02_step_value", v.base(TICK, GRID) + f"SELECT g.symbol, qt, {R('price')}, seq FROM grid g ASOF LEFT JOIN tk ON g.symbol = tk.symbol AND g.qt >= tk.ts")
@@ -182,7 +182,7 @@ W = "WINDOW w AS (PARTITION BY symbol ORDER BY t)"
 
 
 @q("X01_targets", B + f"""SELECT symbol, t, {', '.join(R(f"CASE WHEN lead(t, {h}) OVER w - t = {h * 3600} THEN ln(lead(close, {h}) OVER w / close) END", f'fwd_{h}') for h in (1, 5))},
- CASE WHEN lead(t) OVER w - t = 3600 THEN CASE WHEN lead(close) OVER w > close THEN 1.0 WHEN lead(close) OVER w < close THEN 0.0 END END AS dir_1 FROM bars {W}""")
+ CASE WHEN lead(t) OVER w - t = 3600 THEN CASE WHEN lead(close) OVER w > close THEN 1.0::DOUBLE WHEN lead(close) OVER w < close THEN 0.0::DOUBLE END END AS dir_1 FROM bars {W}""")
 def _(spark, d):
     return v.r6(targets.make_targets(v.bars(spark, d), [1, 5], bar_s=3600), "symbol", "t", fwd_1=None, fwd_5=None, dir_1=None)
 

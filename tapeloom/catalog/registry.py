@@ -15,7 +15,7 @@ class Query:
     sql: str | None = None
 
 
-MODULES = ("indicators", "tape", "joins")
+MODULES = ("indicators", "tape", "joins", "stats")
 
 
 def all_queries() -> dict[str, Query]:

@@ -192,7 +192,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     from tapeloom.plans.indicators import compute_indicators
     from tapeloom.plans.targets import make_targets
 
-    b = make_targets(compute_indicators(bars(spark, d), ["ret_1"]), [1], bar_s=HOUR)
+    b = make_targets(compute_indicators(bars(spark, d), ["ret_1"], keep_rows=True), [1], bar_s=HOUR)
     return b.filter(F.col("ret_1").isNotNull() & F.col("fwd_1").isNotNull() & F.col("dir_1").isNotNull()).select(
         "symbol", F.col("t").cast("long").alias("t"), F.floor(F.col("t") / 86400).alias("day"),
         F.round(logistic(-0.8 * F.col("ret_1")), 9).alias("p"), F.round(logistic(-0.2 * F.col("ret_1")), 9).alias("p2"),

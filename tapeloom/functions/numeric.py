@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
+from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -61,35 +62,11 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x.isNotNull(), F.when(x > 0, 1.0 - upper).otherwise(upper))
 
 
-def normal_ppf(p: Column) -> Column:
-    """Inverse normal distribution function: P. Acklam's rational approximation plus one Halley step."""
-    # Coefficients of the published approximation.
-    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02,
-         -3.066479806614716e01, 2.506628277459239e00]
-    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01,
-         -1.328068155288572e01, 1.0]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00,
-         4.374664141464968e00, 2.938163982698783e00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
-
-    def poly(coefs, z):
-        acc = F.lit(coefs[0])
-        for k in coefs[1:]:
-            acc = acc * z + F.lit(k)
-        return acc
-
-    q_low = F.sqrt(-2.0 * F.log(p))
-    q_high = F.sqrt(-2.0 * F.log(1.0 - p))
-    mid = p - 0.5
-    r = mid * mid
-    x0 = (
-        F.when(p < 0.02425, poly(c, q_low) / poly(d, q_low))
-        .when(p > 1 - 0.02425, -poly(c, q_high) / poly(d, q_high))
-        .otherwise(mid * poly(a, r) / poly(b, r))
-    )
-    err = normal_cdf(x0) - p
-    u = err * math.sqrt(2.0 * math.pi) * F.exp(x0 * x0 / 2.0)
-    return F.when((p > 0) & (p < 1), x0 - u / (1.0 + x0 * u / 2.0))
+@F.pandas_udf("double")
+def normal_ppf(p: pd.Series) -> pd.Series:
+    """Inverse normal distribution function, for aggregated rows (Spark has no built-in)."""
+    inv = NormalDist().inv_cdf
+    return p.map(lambda q: inv(q) if 0.0 < q < 1.0 else None).astype("float64")
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, functions as F
 
-from tapeloom.functions.numeric import as_col, clip, div, normal_cdf, normal_ppf
+from tapeloom.functions.numeric import as_col, clip, div, normal_cdf
 
 # Published fee schedule.
 FEE_RATE = 0.07
@@ -74,8 +76,7 @@ def two_sided_p(z: Column) -> Column:
 
 def min_detectable_accuracy(n_eff: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
     """Smallest true hit rate a one-sided test against one half finds with the given power."""
-    za, zb = normal_ppf(F.lit(1 - alpha)), normal_ppf(F.lit(power))
-    k = (za + zb) * (za + zb)
+    k = (NormalDist().inv_cdf(1 - alpha) + NormalDist().inv_cdf(power)) ** 2
     return F.when(n_eff > 0, F.lit(0.5) + 0.5 * F.sqrt(k / (n_eff + k)))
 
 

@@ -1,7 +1,8 @@
-"""Ranks and cumulative sums over a whole group, without sorting the group in one task.
+"""Ranks and cumulative sums over a whole group, without sorting a large group in one task.
 
-Rows are first reduced to distinct values.  Quantile edges cut each group into cells; cell totals give the offset of a
-cell and a window inside the cell gives the rest.  The edges are checkpointed so that every use sees the same cells.
+Rows are first reduced to distinct values and the reduced table is checkpointed, so what comes before it runs once.
+Its largest group is then measured.  Up to ``PLAIN_LIMIT`` values a plain window is used; beyond it, quantile edges cut
+each group into cells, cell totals give the offset of a cell, and a window inside the cell gives the rest.
 """
 
 from __future__ import annotations
@@ -12,27 +13,46 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom.session import ensure_checkpoint_dir
 
-CELLS = 64
+CELLS = 256
+PLAIN_LIMIT = 1_000_000
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the checkpoint folder that the session names."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    row = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
+    return int(row[0] or 0)
 
 
 def value_cells(df: DataFrame, group: Sequence[str], value: str, cells: int = CELLS) -> DataFrame:
-    """Add ``_cell``: how many quantile edges of the group lie at or below the value."""
+    """Add ``_cell``: how many quantile edges of the group lie at or below the value.
+
+    The edges (one short array per group) are checkpointed: every later use sees the same cells.
+    """
     group = list(group)
-    ensure_checkpoint_dir(df.sparkSession)
     probs = [(i + 1) / cells for i in range(cells - 1)]
-    edges = df.groupBy(*group).agg(F.percentile_approx(value, probs, 1000).alias("_edges")).checkpoint()
+    edges = materialise(df.groupBy(*group).agg(F.percentile_approx(value, probs, 1000).alias("_edges")))
     return df.join(edges, group).withColumn("_cell", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
 
 
 def cumulative_by_value(
-    df: DataFrame, group: Sequence[str], value: str, sums: Mapping[str, Column], cells: int = CELLS
+    df: DataFrame, group: Sequence[str], value: str, sums: Mapping[str, Column], *, cells: int = CELLS,
+    plain_limit: int = PLAIN_LIMIT,
 ) -> DataFrame:
     """One row per group and distinct value: each sum, ``{name}_before`` (all smaller values) and ``{name}_all``."""
     group = list(group)
-    flat = df.groupBy(*group, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    celled = value_cells(flat, group, value, cells)
-    prefix = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    flat = materialise(df.groupBy(*group, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
     whole = Window.partitionBy(*group)
+    if largest_group(flat, group) <= plain_limit:
+        before = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return flat.select("*", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in sums],
+                           *[F.sum(n).over(whole).alias(f"{n}_all") for n in sums])
+    celled = value_cells(flat, group, value, cells)
+    prefix = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     per_cell = celled.groupBy(*group, "_cell").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])
     offsets = per_cell.select(
         *group, "_cell",
@@ -45,23 +65,31 @@ def cumulative_by_value(
     return out.drop("_cell", *[f"_o_{n}" for n in sums])
 
 
-def average_rank(df: DataFrame, group: Sequence[str], value: str, out: str, cells: int = CELLS) -> DataFrame:
+def average_rank(df: DataFrame, group: Sequence[str], value: str, out: str, **limits) -> DataFrame:
     """Rank from 1 with ties averaged; rows with a NULL value get NULL."""
     group = list(group)
-    table = cumulative_by_value(df.filter(F.col(value).isNotNull()), group, value, {"_n": F.lit(1)}, cells)
+    table = cumulative_by_value(df.filter(F.col(value).isNotNull()), group, value, {"_n": F.lit(1)}, **limits)
     ranks = table.select(*group, value, (F.col("_n_before") + (F.col("_n") + 1) / 2.0).alias(out))
     return df.join(ranks, [*group, value], "left")
 
 
 def small_group_rank(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
-    """Average rank by plain windows, for groups whose size is bounded (one day, one hour)."""
+    """Average rank by plain windows, for groups whose size is bounded (one day, one hour) or was measured."""
     w = Window.partitionBy(*group).orderBy(value)
     ties = Window.partitionBy(*group, value)
     return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0))
 
 
-def auc(df: DataFrame, group: Sequence[str], score: str, label: str, weight: Column | None = None,
-        cells: int = CELLS) -> DataFrame:
+def rank_columns(rows: DataFrame, group: Sequence[str], columns: Mapping[str, str], *, bounded: bool = False,
+                 plain_limit: int = PLAIN_LIMIT) -> DataFrame:
+    """Average ranks of several columns (source -> output).  ``rows`` should be a table or a checkpoint."""
+    small = bounded or largest_group(rows, group) <= plain_limit
+    for value, out in columns.items():
+        rows = small_group_rank(rows, group, value, out) if small else average_rank(rows, group, value, out, plain_limit=plain_limit)
+    return rows
+
+
+def auc(df: DataFrame, group: Sequence[str], score: str, label: str, weight: Column | None = None, **limits) -> DataFrame:
     """Area under the ROC curve per group (ties count one half), optionally weighted, with its class totals."""
     whole = not group
     if whole:
@@ -70,20 +98,22 @@ def auc(df: DataFrame, group: Sequence[str], score: str, label: str, weight: Col
     w = F.lit(1.0) if weight is None else weight
     table = cumulative_by_value(
         df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()), group, score,
-        {"pos": F.when(F.col(label) == 1, w).otherwise(0.0), "neg": F.when(F.col(label) == 0, w).otherwise(0.0)}, cells)
+        {"pos": F.when(F.col(label) == 1, w).otherwise(0.0), "neg": F.when(F.col(label) == 0, w).otherwise(0.0)}, **limits)
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
-    agg = [F.try_divide(wins, F.max("pos_all") * F.max("neg_all")).alias("auc"),
-           F.max("pos_all").alias("n_pos"), F.max("neg_all").alias("n_neg")]
-    out = table.groupBy(*group).agg(*agg)
+    out = table.groupBy(*group).agg(
+        F.try_divide(wins, F.max("pos_all") * F.max("neg_all")).alias("auc"),
+        F.max("pos_all").alias("n_pos"), F.max("neg_all").alias("n_neg"))
     return out.drop("_all") if whole else out
 
 
 def ordinal_rank(df: DataFrame, group: Sequence[str], value: str, tie: Sequence[str], out: str, *,
-                 descending: bool = True, cells: int = CELLS) -> DataFrame:
-    """Rank from 1, ties broken by the ``tie`` columns, with the group cut into value cells."""
+                 descending: bool = True, cells: int = CELLS, plain_limit: int = PLAIN_LIMIT) -> DataFrame:
+    """Rank from 1, ties broken by the ``tie`` columns; large groups are cut into value cells."""
     group = list(group)
-    sign = -1 if descending else 1
-    keyed = df.withColumn("_v", F.col(value) * sign)
+    keyed = materialise(df.withColumn("_v", F.col(value) * (-1 if descending else 1)))
+    if largest_group(keyed, group) <= plain_limit:
+        w = Window.partitionBy(*group).orderBy("_v", *tie)
+        return keyed.withColumn(out, F.row_number().over(w)).drop("_v")
     celled = value_cells(keyed, group, "_v", cells)
     prefix = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = celled.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_k")).select(

@@ -152,7 +152,7 @@ def variance_ratios(bars: DataFrame, steps: Sequence[int]) -> DataFrame:
         out[f"_l{k}"] = layers.lag("r1", r1, k)
     rows = tiling.untile(layers.build(out))
     wide = rows.groupBy("symbol").agg(*[x for k in steps for x in (
-        (F.var_pop(f"_r{k}k") / (k * F.var_pop("_r1"))).alias(f"vr{k}"), F.corr("_r1", f"_l{k}").alias(f"ac{k}"))])
+        (F.var_pop(f"_r{k}k") / (k * F.var_pop("_r1"))).alias(f"vr{k}"), F.try_divide(F.covar_pop("_r1", f"_l{k}"), F.stddev_pop(F.when(F.col(f"_l{k}").isNotNull(), F.col("_r1"))) * F.stddev_pop(f"_l{k}")).alias(f"ac{k}"))])
     cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"vr{k}").alias("vr"), F.col(f"ac{k}").alias("ac")) for k in steps])
     return wide.select("symbol", F.inline(cells))
 

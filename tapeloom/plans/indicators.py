@@ -641,11 +641,12 @@ def compute_indicators(
     lengths: Mapping[int, int] | None = None,
     keep: Sequence[str] | None = None,
     tile_rows: int = 4 * tiling.COARSE_ROWS,
+    keep_rows: bool = False,
 ) -> DataFrame:
     """Bars plus one DOUBLE column per indicator; indicators whose input columns are absent are left out.
 
     ``lengths`` replaces window lengths (for bars other than one minute).  ``keep`` names the input columns to return
-    (default: all).
+    (default: all).  ``keep_rows`` also returns the row numbers, so that a following step need not count again.
     """
     lengths = dict(lengths or {})
     n = lambda k: lengths.get(k, k)
@@ -676,8 +677,9 @@ def compute_indicators(
     if band:
         outputs["_atr10"] = b.atr(10)
     keep = list(bars.columns) if keep is None else list(keep)
+    numbers = [tiling.ROW, tiling.TOTAL] if keep_rows else []
     wide = layers.build(outputs)
     if not band:
-        return tiling.untile(wide).select(*keep, *wanted)
+        return tiling.untile(wide, keep_row=keep_rows).select(*keep, *numbers, *wanted)
     rows = tiling.untile(wide, keep_row=True)
     return supertrend(rows, keys, atr="_atr10", tile_rows=tile_rows).select(*keep, *wanted)
