@@ -5,7 +5,7 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def as_col(x) -> Column:
@@ -62,7 +62,7 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x.isNotNull(), F.when(x > 0, 1.0 - upper).otherwise(upper))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_ppf(p: pd.Series) -> pd.Series:
     """Inverse normal distribution function, for aggregated rows (Spark has no built-in)."""
     inv = NormalDist().inv_cdf

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tapeloom.functions.numeric import as_col, div, normal_cdf, normal_ppf
 from tapeloom.functions.prob import brier, log_loss, two_sided_p, wilson
@@ -18,7 +18,7 @@ POISSON1 = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98101
             0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_half_tail(k: pd.Series, n: pd.Series) -> pd.Series:
     """P(X >= k) for X ~ B(n, 1/2), summed in logs.  Runs on aggregated rows only."""
     def one(a, b):

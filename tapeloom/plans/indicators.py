@@ -414,8 +414,7 @@ def _weekday(tz: str = "UTC") -> Column:
 
 
 def _in_session(tz: str, start: int, end: int) -> Callable[[Bars], Node]:
-    inside = (_minute(tz) >= start) & (_minute(tz) < end) & (_weekday(tz) < 5)
-    return lambda b: Node(inside.cast("double"), 0)
+    return _clock(lambda: (_minute(tz) >= start) & (_minute(tz) < end) & (_weekday(tz) < 5))
 
 
 def _weekend() -> Column:
@@ -642,11 +641,13 @@ def compute_indicators(
     keep: Sequence[str] | None = None,
     tile_rows: int = 4 * tiling.COARSE_ROWS,
     keep_rows: bool = False,
+    session_rows: int = 1440,
 ) -> DataFrame:
     """Bars plus one DOUBLE column per indicator; indicators whose input columns are absent are left out.
 
     ``lengths`` replaces window lengths (for bars other than one minute).  ``keep`` names the input columns to return
     (default: all).  ``keep_rows`` also returns the row numbers, so that a following step need not count again.
+    ``session_rows`` is the largest number of bars in one session.
     """
     lengths = dict(lengths or {})
     n = lambda k: lengths.get(k, k)
@@ -667,6 +668,7 @@ def compute_indicators(
         ema_reach(2.0 / (n(240) + 1)) + 2 * n(60),
         2 * ema_reach(1.0 / 14),
         n(DAY) + 2 * n(240),
+        session_rows if any("session" in REGISTRY[w].needs for w in wanted) else 0,
     )
     tiled = tiling.tile(df, keys, "open_time", behind=behind, rows=tile_rows)
     layers = Layers(tiled, keys)
