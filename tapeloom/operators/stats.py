@@ -327,8 +327,8 @@ def partial_spearman(df: DataFrame, group: Sequence[str], x: str, y: str, contro
     return g.select(*group, "n", F.try_divide(F.col("ab") - F.col("ac") * F.col("bc"), den).alias("partial_ic"))
 
 
-def rank_persistence(df: DataFrame, entity: str, period: str, value: str, lags: Sequence[int], top: int) -> DataFrame:
-    """Rank correlation of an entity's value with its value k periods later, and how often the top stays the top."""
+def rank_persistence(df: DataFrame, entity: str, period: str, value: str, lags: Sequence[int]) -> DataFrame:
+    """Rank correlation of an entity's value with its value k periods later."""
     later = df.select(entity, F.col(period).alias("_p2"), F.col(value).alias("_v2"))
     shifted = df.withColumn("k", F.explode(F.array(*[F.lit(k) for k in lags]))).withColumn("_p2", F.col(period) + F.col("k"))
     pairs = shifted.join(later, [entity, "_p2"])
