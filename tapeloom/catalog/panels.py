@@ -43,9 +43,9 @@ def pan(spark, d):
     return panel.build_panel(daily(spark, d))
 
 
-@q("B10_active_panel", D + f"SELECT symbol, day, active, round(close, 3) + 0.0 AS close FROM pn")
+@q("B10_active_panel", D + f"SELECT symbol, day, active, {R('ln(close)', 'log_close')} FROM pn")
 def _(spark, d):
-    return v.r6(pan(spark, d), "symbol", "day", "active", close=F.round("close", 3))
+    return v.r6(pan(spark, d), "symbol", "day", "active", log_close=F.log("close"))
 
 
 @q("B11_delist_notice", D + "SELECT symbol, day, active AND last < fin AND sum(active::INT) OVER (PARTITION BY symbol ORDER BY day DESC ROWS UNBOUNDED PRECEDING) <= 5 AS notice FROM pn")

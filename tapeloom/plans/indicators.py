@@ -639,7 +639,7 @@ def compute_indicators(
     keys: Sequence[str] = ("symbol",),
     lengths: Mapping[int, int] | None = None,
     keep: Sequence[str] | None = None,
-    tile_rows: int = 4 * tiling.COARSE_ROWS,
+    tile_rows: int = 2 * tiling.COARSE_ROWS,
     keep_rows: bool = False,
     session_rows: int = 1440,
 ) -> DataFrame:
@@ -654,7 +654,10 @@ def compute_indicators(
     wanted = list(names) if names is not None else list(REGISTRY)
     skipped = missing_requirements(bars.columns, wanted)
     wanted = [w for w in wanted if w not in skipped]
-    df = bars
+    keep = list(bars.columns) if keep is None else list(keep)
+    # narrow rows: every window operator buffers and copies whole rows
+    used = {*keys, *keep, "open_time", "open", "high", "low", "close", "quote_volume", *(c for w in wanted for c in REGISTRY[w].needs)}
+    df = bars.select(*[c for c in bars.columns if c in used])
     if "rel_volume_tod" in wanted:
         df = same_clock_mean(df, keys, "volume", "_tod_mean", days=PROFILE_DAYS, least=PROFILE_LEAST)
     df = tiling.number_rows(df, keys, "open_time")
@@ -678,7 +681,6 @@ def compute_indicators(
     band = [w for w in wanted if w.startswith("supertrend_")]
     if band:
         outputs["_atr10"] = b.atr(10)
-    keep = list(bars.columns) if keep is None else list(keep)
     numbers = [tiling.ROW, tiling.TOTAL] if keep_rows else []
     wide = layers.build(outputs)
     if not band:
