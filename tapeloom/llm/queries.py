@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import decontam, linededup, packing, tokenfiles
+from tapeloom.llm import decontam, linededup, packing, quality, shards, tokenfiles
 from tapeloom.llm.tables import read
 
 
@@ -12,6 +12,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_digest(read(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontamination_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -24,7 +32,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_decontamination, op8_line_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_sharding, op4_quality_rules, op5_decontamination, op8_line_dedup, op10_token_files)}
 
 SQL: dict[str, str] = {}
 
