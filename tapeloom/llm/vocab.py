@@ -13,12 +13,27 @@ import json
 import re
 
 import numpy as np
+import regex
 
-#: Words and parts of words kept; at this many a memo starts anew.
-WORDS, PIECES = 400_000, 200_000
-#: Printable ASCII that can be lower-cased and cut without the library's normaliser.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words and parts of words kept since a memo's last turn; those of the turn before are kept too.
+WORDS, PIECES = 500_000, 250_000
+#: How the vocabulary cuts normalised text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for printable ASCII in lower case.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_LATIN = regex.compile(_SPLIT)
+#: Printable ASCII and Latin letters that are composed already and have one lower-case letter each.
+_PLAIN = re.compile(r"[\x20-\x7e\xa1-\u012f\u0131-\u017f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
 
 
 def can_split(spec: dict) -> bool:
@@ -37,16 +52,18 @@ def can_split(spec: dict) -> bool:
 
 
 class _Memo(dict):
-    """bytes of a word -> bytes of its ids; encodes what it has not seen."""
+    """A word -> bytes of its ids; encodes what it has not seen, and forgets what was not asked for in its last two turns."""
 
     def __init__(self, encode, limit: int) -> None:
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.before = encode, limit, {}
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word):
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
+        ids = self.before.get(word)
+        ids = self[word] = self.encode(word) if ids is None else ids
         return ids
 
 
@@ -75,9 +92,11 @@ class Encoder:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if not (text.isascii() and text.isprintable()) or any(x in word for x in self.special):
+        if not _PLAIN.fullmatch(text) or any(x in word for x in self.special):
             return self._whole(word)
-        return b"".join(map(self.pieces.__getitem__, _ASCII.findall(text.lower())))
+        if text.isascii():
+            return b"".join(map(self.pieces.__getitem__, _ASCII.findall(text.lower())))
+        return b"".join(self.pieces[p.encode().decode("latin-1").translate(_LETTERS)] for p in _LATIN.findall(text.lower()))
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text, with the end id, as bytes."""
