@@ -2,7 +2,7 @@
 
 Format. A shard is two Arrow IPC files (the stream format with a footer, so any batch can be opened by number).
 ``tokens-*.arrow`` has one row for each sequence of ``seq_len`` ids: ``ids`` is a fixed-size list of unsigned 16- or
-32-bit ids, ``mask`` a fixed-size list of bytes, 1 for an id and 0 for padding, which only the last row of a shard
+32-bit ids, ``mask`` a fixed-size list of bits, set for an id and not for padding, which only the last row of a shard
 has. Every batch but the last has ``ROWS`` rows, so sequence k is row k % ROWS of batch k // ROWS, and as nothing is
 compressed, ids and masks of a mapped file are views of it. ``index-*.arrow`` has doc_id, start and length of each
 document, counted in ids from the shard's first.
@@ -58,7 +58,7 @@ class ShardWriter:
         tag = f"{shard:06d}-{uuid.uuid4().hex}.arrow"
         self.names = (f"tokens-{tag}", f"index-{tag}")
         ids = pa.from_numpy_dtype(dtype)
-        self.row = pa.schema([("ids", pa.list_(pa.field("item", ids, nullable=False), seq_len)), ("mask", pa.list_(pa.field("item", pa.uint8(), nullable=False), seq_len))])
+        self.row = pa.schema([("ids", pa.list_(pa.field("item", ids, nullable=False), seq_len)), ("mask", pa.list_(pa.field("item", pa.bool_(), nullable=False), seq_len))])
         self.entry = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
         self.outputs = [self.files.open_output_stream(f"{self.top}/.{n}") for n in self.names]
         self.writers = [pa.ipc.new_file(o, s) for o, s in zip(self.outputs, (self.row, self.entry), strict=True)]
@@ -83,9 +83,9 @@ class ShardWriter:
         for at in range(0, whole, step):
             part = flat[at : min(at + step, whole)]
             n = -(-len(part) // self.seq_len)
-            ids, mask = np.zeros(n * self.seq_len, self.dtype), np.zeros(n * self.seq_len, np.uint8)
+            ids, mask = np.zeros(n * self.seq_len, self.dtype), np.zeros(n * self.seq_len, bool)
             ids[: len(part)] = part
-            mask[: len(part)] = 1
+            mask[: len(part)] = True
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=self.row.field(k).type) for k, x in enumerate((ids, mask))]
             self.writers[0].write_batch(pa.record_batch(arrays, schema=self.row))
         rest = flat[whole:].tobytes()
@@ -109,13 +109,14 @@ class Shard:
         self.tokens, self.index = open_arrow(folder, tokens_file), open_arrow(folder, index_file)
         self.seq_len = self.tokens.schema.field("ids").type.list_size
 
-    def _flat(self, batch: int, name: str) -> np.ndarray:
-        return self.tokens.get_batch(batch).column(name).values.to_numpy(zero_copy_only=True)
+    def _flat(self, batch: int) -> np.ndarray:
+        return self.tokens.get_batch(batch).column("ids").values.to_numpy(zero_copy_only=True)
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k."""
-        cut = slice(k % ROWS * self.seq_len, (k % ROWS + 1) * self.seq_len)
-        return self._flat(k // ROWS, "ids")[cut], self._flat(k // ROWS, "mask")[cut]
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence k; the mask is a slice of the mapped bits."""
+        at = k % ROWS * self.seq_len
+        bits = self.tokens.get_batch(k // ROWS).column("mask").values
+        return self._flat(k // ROWS)[at : at + self.seq_len], bits.slice(at, self.seq_len)
 
     def documents(self) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         """Batches of the index, each with its documents' ids in one or more views."""
@@ -127,7 +128,7 @@ class Shard:
                 views, at = [], start
                 while at < start + length:
                     if at // step != number:
-                        number, flat = at // step, self._flat(at // step, "ids")
+                        number, flat = at // step, self._flat(at // step)
                     views.append(flat[at % step : min(start + length - number * step, step)])
                     at += len(views[-1])
                 found.append(views)
