@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import decontam, linededup, packing, quality, shards, tokenfiles
+from tapeloom.llm import decontam, linededup, packing, quality, shards, substring, tokenfiles
 from tapeloom.llm.tables import read
 
 
@@ -12,6 +12,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_digest(read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_digest(read(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_sharding, op4_quality_rules, op5_decontamination, op8_line_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sharding, op4_quality_rules, op5_decontamination, op8_line_dedup, op10_token_files)}
 
 SQL: dict[str, str] = {}
 
@@ -55,6 +59,16 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""".replace(r"\\x", r"\x")
 
+SQL["op2_substring_dedup"] = r"""
+WITH doc_words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, k, sha256(array_to_string(w[k : k + 34], ' ')) AS run FROM doc_words, unnest(range(1, len(w) - 33)) AS t(k)),
+again AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY run) AS n FROM runs) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM again, unnest(range(k, k + 35)) AS t(p)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc_words),
+kept AS (SELECT e.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS text FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM doc_words d LEFT JOIN kept USING (doc_id)"""
+
 SQL["op8_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
