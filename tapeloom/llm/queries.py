@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import decontam, linededup, packing, quality, shards, substring, tokenfiles
+from tapeloom.llm import decontam, linededup, ngramjoin, packing, quality, shards, substring, tokenfiles
 from tapeloom.llm.tables import read
 
 
@@ -32,11 +32,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join_digest(read(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sharding, op4_quality_rules, op5_decontamination, op8_line_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sharding, op4_quality_rules, op5_decontamination, op8_line_dedup, op9_ngram_join, op10_token_files)}
 
 SQL: dict[str, str] = {}
 
@@ -69,6 +73,23 @@ kept AS (SELECT e.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) A
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM doc_words d LEFT JOIN kept USING (doc_id)"""
 
+SQL["op9_ngram_join"] = r"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[k : k + 3], ' ')) AS s FROM doc_words, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS t(k) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id WHERE 100 * same >= 85 * (p.n + q.n - same)),
+reach AS (
+  SELECT a AS doc_id, b AS other FROM links UNION SELECT b, a FROM links
+  UNION SELECT r.doc_id, CASE WHEN l.a = r.other THEN l.b ELSE l.a END FROM reach r JOIN links l ON l.a = r.other OR l.b = r.other),
+least_other AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(o.other, d.doc_id)) AS component_id
+FROM doc_words d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_other o USING (doc_id)"""
+
 SQL["op8_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
