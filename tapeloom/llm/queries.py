@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import decontam, linededup, ngramjoin, packing, quality, shards, substring, tokenfiles
+from tapeloom.llm import decontam, langid, linededup, ngramjoin, packing, quality, shards, substring, tokenfiles
 from tapeloom.llm.tables import read
 
 
@@ -28,6 +28,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontamination_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(read(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(read(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sharding, op4_quality_rules, op5_decontamination, op8_line_dedup, op9_ngram_join, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sharding, op4_quality_rules, op5_decontamination, op6_language_id, op8_line_dedup, op9_ngram_join, op10_token_files)}
 
 SQL: dict[str, str] = {}
 

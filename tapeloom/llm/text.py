@@ -44,12 +44,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[at[0] : at[-1]], at - at[0]
 
 
-def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows that hold about ``size`` bytes, or one longer text."""
+def chunks(column: pa.Array, size: int = CHUNK, rows: int = 1 << 30) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of at most ``rows`` rows that hold about ``size`` bytes, or one longer text."""
     data, at = utf8(column)
     row = 0
     while row < len(at) - 1:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + size, side="right")) - 1)
+        end = min(max(row + 1, int(np.searchsorted(at, at[row] + size, side="right")) - 1), row + rows)
         yield row, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
 
