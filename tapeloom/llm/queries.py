@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import decontam, langid, linededup, ngramjoin, packing, quality, shards, substring, tokenfiles
+from tapeloom.llm import decontam, htmlcrf, langid, linededup, ngramjoin, packing, quality, shards, substring, tokenfiles
 from tapeloom.llm.tables import read
 
 
@@ -32,6 +32,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_digest(read(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(read(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sharding, op4_quality_rules, op5_decontamination, op6_language_id, op8_line_dedup, op9_ngram_join, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sharding, op4_quality_rules, op5_decontamination, op6_language_id, op7_html_extraction, op8_line_dedup, op9_ngram_join, op10_token_files)}
 
 SQL: dict[str, str] = {}
 
