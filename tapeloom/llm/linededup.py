@@ -19,6 +19,7 @@ all others. Keys are compared by 128-bit hashes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -151,7 +152,7 @@ class LineStore:
 
     def _changed(self, added: DataFrame | None, removed: DataFrame | None) -> LineStore:
         version = self.version + 1
-        name = f"v{version}"
+        name = f"v{version}-{uuid.uuid4().hex[:8]}"  # two changes of one store do not meet
         posts, counts = self.postings, self.counts
         if added is not None:
             new = stored(added, self.folder, f"{name}-postings")
