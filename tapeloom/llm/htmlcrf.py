@@ -137,6 +137,8 @@ def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
     found = []
     for e in path:
         tag, *words = e.split(" ")
+        if tag not in BLOCK:  # inline elements are closed before their block ends
+            continue
         if tag not in ("html", "body"):
             found.append(f"in {tag}")
         found += [f"named {w}" for w in words]
@@ -343,8 +345,8 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> Iterator[tuple[list[
             else:
                 entries.append((draw.choice((("blockquote", "p"), ("blockquote",), ("pre",), ("table", "tr", "td"), ("figure", "figcaption"))), *prose(1, 3)))
         made = blocks((*outer, *top), 1, [(p, odd(t), min(n, len(t))) for p, t, n in entries])
-        for part in (advert, side, notice, form):  # now and then a part stands inside the article
-            if draw.random() < 0.06:
+        for part in (advert, advert, side, notice, form, menu, comment):  # often a part stands inside the article
+            if draw.random() < 0.15:
                 at = draw.randint(0, len(made))
                 made[at:at] = part((*outer, *top))
         return made
@@ -354,6 +356,7 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> Iterator[tuple[list[
         before = [p for p, share in ((notice, 0.2), (head, 0.5), (menu, 0.7), (advert, 0.5), (side, 0.2), (form, 0.15)) if draw.random() < share]
         after = [p for p, share in ((comment, 0.45), (side, 0.35), (form, 0.2), (advert, 0.2), (notice, 0.1), (menu, 0.1), (foot, 0.85)) if draw.random() < share]
         draw.shuffle(before)
+        before, after = before if draw.random() < 0.85 else [], after if draw.random() < 0.85 else []
         page = [x for part in (*before, article, *after) for x in part(outer)]
         yield [b for b, _ in page], [label for _, label in page]
 
