@@ -16,6 +16,7 @@ from tapeloom.functions.numeric import as_col, div, ln
 from tapeloom.operators.tiling import COARSE, COARSE_ROWS, FINE, FINE_ROWS, ROW, TILE, tile_window
 
 SHORT_FRAME = 32
+LARGEST_EXPONENT = 600.0  # exp(709) is the largest double
 DECAY_DIGITS = 39.2  # exp(-39.2) is below half a unit in the last place of a double
 
 
@@ -207,20 +208,26 @@ class Layers:
         keep = 1.0 - alpha
         rate = -math.log(keep)
         reach = math.ceil(DECAY_DIGITS / rate)
-        if reach <= FINE_ROWS:
-            block, per_block = [TILE, COARSE, FINE], FINE
+        # scaled values stay below exp(LARGEST_EXPONENT): fast recursions take shorter blocks
+        size = FINE_ROWS
+        while rate * size > LARGEST_EXPONENT:
+            size //= 2
+        if size < FINE_ROWS:
+            block, per_block = [TILE, COARSE, FINE, F.floor(F.col(ROW) / size)], size
+        elif reach <= FINE_ROWS:
+            block, per_block = [TILE, COARSE, FINE], size
         elif reach <= COARSE_ROWS:
-            block, per_block = [TILE, COARSE], COARSE
+            block, per_block = [TILE, COARSE], COARSE_ROWS
         else:
             block, per_block = [TILE], None
-        order = [c for c in (COARSE, FINE, ROW) if c not in block]
+        named = [c for c in block if isinstance(c, str)]
+        order = [c for c in (COARSE, FINE, ROW) if c not in named]
         inside = Window.partitionBy(*self.keys, *block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         tag = f"{name}.ema{alpha:.9f}"
         known = self._running_count(name, x)
         row = self.source(ROW)
         if not gaps:
-            base = {FINE: F.col(FINE) * FINE_ROWS, COARSE: F.col(COARSE) * COARSE_ROWS,
-                    None: F.first(ROW).over(inside)}[per_block]
+            base = F.first(ROW).over(inside) if per_block is None else F.floor(F.col(ROW) / per_block) * per_block
             pos = self.let(f"pos.{per_block}", lambda: Node(F.col(ROW) - base, 0))
             # the first known value carries weight 1, every later one carries alpha
             scaled = Node.apply(lambda c, k, p: F.coalesce(
@@ -241,14 +248,10 @@ class Layers:
             local = self.let(f"{tag}.local", lambda: Node.apply(lambda s, d: s * F.exp(d), run, decay))
             age = Node.apply(F.exp, decay)
         if per_block is not None:
-            size = FINE_ROWS if per_block == FINE else COARSE_ROWS
-            last = Node.apply(lambda r, v: F.when(r % size == size - 1, v), row, local)
+            last = Node.apply(lambda r, v: F.when(r % per_block == per_block - 1, v), row, local)
             carried = self.over(f"{tag}.carry", lambda c: F.last(c, ignorenulls=True), last,
                                 frame=self.window.rowsBetween(Window.unboundedPreceding, -1))
-            if gaps:
-                value = Node.apply(lambda v, a, b: v + a * F.coalesce(b, F.lit(0.0)), local, age, carried)
-            else:
-                value = Node.apply(lambda v, a, b: v + a * F.coalesce(b, F.lit(0.0)), local, age, carried)
+            value = Node.apply(lambda v, a, b: v + a * F.coalesce(b, F.lit(0.0)), local, age, carried)
         else:
             value = local
         return self.let(f"{tag}.{least}", lambda: Node.apply(

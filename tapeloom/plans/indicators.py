@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom.functions.numeric import finite, ln
 from tapeloom.operators import tiling
+from tapeloom.operators.carry import since_event
 from tapeloom.operators.layers import Layers, Node, ema_reach
 from tapeloom.operators.ratchet import supertrend
 
@@ -123,34 +124,15 @@ class Bars:
             self.l.total("taker_buy_volume", self.taker_buy_volume, k) / self.sum_volume(k)) - 1.0)
 
     # sessions
-    @property
-    def new_session(self):
-        prev = self.l.lag("session", self.source_session, 1)
-        row = self.l.source(tiling.ROW)
-        return Node.apply(lambda s, p, r: p.isNull() | (s != p), self.source_session, prev, row)
-
-    @property
-    def source_session(self): return self.l.source("session")
-
     def since_session(self, name, x):
-        """Cumulative sum of x since the first bar of the session."""
-        run = self.l._running(name, x)
-        base = self.l.let(f"{name}.sessionbase", lambda: Node.apply(
-            lambda new, s, v: F.when(new, s - F.coalesce(v, F.lit(0.0))), self.new_session, run, x))
-        start = self.l.over(f"{name}.sessionstart", lambda c: F.last(c, ignorenulls=True), base, frame=self.l.running)
-        return Node.apply(lambda s, b, v: F.when(v.isNotNull(), s - b), run, start, x)
+        """Cumulative sum of x since the first bar of the session (see ``carried``)."""
+        return Node.apply(lambda s, v: F.when(v.isNotNull(), s), self.l.source(f"_session_{name}"), x)
 
     @property
-    def session_open(self):
-        first = self.l.let("sessionopen0", lambda: Node.apply(lambda new, o: F.when(new, o), self.new_session, self.open))
-        return self.l.over("sessionopen", lambda c: F.last(c, ignorenulls=True), first, frame=self.l.running)
+    def session_open(self): return self.l.source("_session_open")
 
     @property
-    def session_bars(self):
-        row = self.l.source(tiling.ROW)
-        first = self.l.let("sessionrow0", lambda: Node.apply(lambda new, r: F.when(new, r), self.new_session, row))
-        start = self.l.over("sessionrow", lambda c: F.last(c, ignorenulls=True), first, frame=self.l.running)
-        return row - start + 1
+    def session_bars(self): return self.l.source(tiling.ROW) - self.l.source("_session_row") + 1
 
     # benchmark
     @property
@@ -330,9 +312,7 @@ def _eom(b: Bars, n: int) -> Node:
 
 
 def _tick_imb(b: Bars, n: int) -> Node:
-    sign = b.l.let("ticksign0", lambda: Node.apply(lambda d: F.when(d != 0, F.signum(d)), b.dclose))
-    held = b.l.over("ticksign", lambda c: F.last(c, ignorenulls=True), sign, frame=b.l.running)
-    signed = b.l.let("ticksigned", lambda: held * b.volume)
+    signed = b.l.let("ticksigned", lambda: b.l.source("_tick_sign") * b.volume)
     return b.l.total("ticksigned", signed, n) / b.sum_volume(n)
 
 
@@ -632,6 +612,25 @@ def same_clock_mean(df: DataFrame, keys: Sequence[str], value: str, out: str, *,
     )
 
 
+def carried(numbered: DataFrame, keys: Sequence[str], names: Sequence[str], tile_rows: int) -> DataFrame:
+    """Columns that reach back without limit: the session's open, first row and sums, and the last price move's sign."""
+    w = tiling.tile_window(keys)
+    df = numbered
+    if any("session" in REGISTRY[x].needs for x in names):
+        prev = F.lag("session").over(w)
+        typical = (F.col("high") + F.col("low") + F.col("close")) / F.lit(3.0) * F.col("volume") if "volume" in df.columns else F.lit(None)
+        quote = F.coalesce(F.col("quote_volume"), typical) if "quote_volume" in df.columns else typical
+        sums = {"_session_quote": quote, "_session_volume": F.col("volume")} if "vwap_dev_session" in names else {}
+        held = {"_session_open": F.col("open"), "_session_row": F.col(tiling.ROW)}
+        df = since_event(df, keys, "open_time", prev.isNull() | (F.col("session") != prev), held=held, sums=sums, tile_rows=tile_rows)
+    if any(x.startswith("tick_imb_") for x in names):
+        move = F.col("close") - F.lag("close").over(w)
+        held = {"_tick_sign": F.signum(F.col("_move"))}
+        moved = tiling.untile(tiling.tile(df, keys, "open_time", behind=1, rows=tile_rows).withColumn("_move", move), keep_row=True)
+        df = since_event(moved, keys, "open_time", F.coalesce(F.col("_move") != 0, F.lit(False)), held=held, tile_rows=tile_rows).drop("_move")
+    return df
+
+
 def compute_indicators(
     bars: DataFrame,
     names: Sequence[str] | None = None,
@@ -641,13 +640,12 @@ def compute_indicators(
     keep: Sequence[str] | None = None,
     tile_rows: int = 2 * tiling.COARSE_ROWS,
     keep_rows: bool = False,
-    session_rows: int = 1440,
 ) -> DataFrame:
     """Bars plus one DOUBLE column per indicator; indicators whose input columns are absent are left out.
 
     ``lengths`` replaces window lengths (for bars other than one minute).  ``keep`` names the input columns to return
     (default: all).  ``keep_rows`` also returns the row numbers, so that a following step need not count again.
-    ``session_rows`` is the largest number of bars in one session.
+    Sessions and runs of equal closes may be of any length.
     """
     lengths = dict(lengths or {})
     n = lambda k: lengths.get(k, k)
@@ -667,12 +665,8 @@ def compute_indicators(
         layers = Layers(tiled, keys)
         z = layers.zscore("funding_rate", layers.source("funding_rate"), month, n(MONTH_LEAST))
         df = tiling.untile(layers.build({"_funding_z": z}), keep_row=True)
-    behind = max(
-        ema_reach(2.0 / (n(240) + 1)) + 2 * n(60),
-        2 * ema_reach(1.0 / 14),
-        n(DAY) + 2 * n(240),
-        session_rows if any("session" in REGISTRY[w].needs for w in wanted) else 0,
-    )
+    df = carried(df, keys, wanted, tile_rows)
+    behind = max(ema_reach(2.0 / (n(240) + 1)) + 2 * n(60), 2 * ema_reach(1.0 / 14), n(DAY) + 2 * n(240))
     tiled = tiling.tile(df, keys, "open_time", behind=behind, rows=tile_rows)
     layers = Layers(tiled, keys)
     b = Bars(layers, bars.columns, lengths)
