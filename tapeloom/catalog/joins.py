@@ -204,9 +204,9 @@ def _(spark, d):
 
 @q("W30_interpolation", B + f"""SELECT symbol, t, {R('CASE WHEN close IS NOT NULL THEN close WHEN pv IS NOT NULL AND nv IS NOT NULL THEN pv + (nv - pv) * (t - pt) / (nt - pt) END', 'close')} FROM (SELECT symbol, g.t, b.close, last_value(b.close IGNORE NULLS) OVER p AS pv, last_value(CASE WHEN b.close IS NOT NULL THEN g.t END IGNORE NULLS) OVER p AS pt,
  first_value(b.close IGNORE NULLS) OVER n AS nv, first_value(CASE WHEN b.close IS NOT NULL THEN g.t END IGNORE NULLS) OVER n AS nt FROM (SELECT symbol, unnest(range(min(t), max(t) + 1, 3600)) AS t FROM bars GROUP BY 1) g LEFT JOIN bars b USING (symbol, t)
- WINDOW p AS (PARTITION BY symbol ORDER BY g.t ROWS BETWEEN 48 PRECEDING AND CURRENT ROW), n AS (PARTITION BY symbol ORDER BY g.t ROWS BETWEEN CURRENT ROW AND 48 FOLLOWING))""")
+ WINDOW p AS (PARTITION BY symbol ORDER BY g.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY symbol ORDER BY g.t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""")
 def _(spark, d):
-    return v.r6(series.interpolated(series.on_spine(v.bars(spark, d), 3600), "close", 48), "symbol", "t", close=None)
+    return v.r6(series.interpolated(series.on_spine(v.bars(spark, d), 3600), "close"), "symbol", "t", close=None)
 
 
 @q("W28_max_gap", v.base(TICK) + f"SELECT symbol, {R('max(gap)', 'max_gap')}, count(*) FILTER (gap > 3600) AS n_long FROM (SELECT symbol, (us - lag(us) OVER (PARTITION BY symbol ORDER BY us)) / 1000000.0 AS gap FROM tk) GROUP BY 1")

@@ -299,7 +299,7 @@ i AS (SELECT indicator, horizon, t, corr(rx, ry) AS ic FROM k GROUP BY ALL HAVIN
 SELECT indicator, horizon, count(*) AS n, {R('avg(ic)', 'mean')} FROM i WHERE isfinite(ic) GROUP BY 1, 2""")
 def _(spark, d):
     g = ["indicator", "horizon", "t"]
-    ic = stats.spearman(long(spark, d), g, "x", "ret", bounded=True).filter((F.col("n") >= 4) & F.col("ic").isNotNull())
+    ic = stats.spearman(long(spark, d), g, "x", "ret").filter((F.col("n") >= 4) & F.col("ic").isNotNull())
     return v.r6(stats.newey_west_mean(ic, ["indicator", "horizon"], "t", "ic", 5), "indicator", "horizon", "n", mean=None)
 
 

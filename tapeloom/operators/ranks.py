@@ -1,8 +1,8 @@
 """Ranks and cumulative sums over a whole group, without sorting a large group in one task.
 
 Rows are first reduced to distinct values and the reduced table is checkpointed, so what comes before it runs once.
-Its largest group is then measured.  Up to ``PLAIN_LIMIT`` values a plain window is used; beyond it, quantile edges cut
-each group into cells, cell totals give the offset of a cell, and a window inside the cell gives the rest.
+Quantile edges cut each group into cells, cell totals give the offset of a cell, and a window inside the cell gives
+the rest: one way for groups of every size.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tapeloom.session import ensure_checkpoint_dir
 
 CELLS = 256
-PLAIN_LIMIT = 1_000_000
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -23,11 +22,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    row = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return int(row[0] or 0)
-
-
 def value_cells(df: DataFrame, group: Sequence[str], value: str, cells: int = CELLS) -> DataFrame:
     """Add ``_cell``: how many quantile edges of the group lie at or below the value.
 
@@ -41,16 +35,11 @@ def value_cells(df: DataFrame, group: Sequence[str], value: str, cells: int = CE
 
 def cumulative_by_value(
     df: DataFrame, group: Sequence[str], value: str, sums: Mapping[str, Column], *, cells: int = CELLS,
-    plain_limit: int = PLAIN_LIMIT,
 ) -> DataFrame:
     """One row per group and distinct value: each sum, ``{name}_before`` (all smaller values) and ``{name}_all``."""
     group = list(group)
     flat = materialise(df.groupBy(*group, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
     whole = Window.partitionBy(*group)
-    if largest_group(flat, group) <= plain_limit:
-        before = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return flat.select("*", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in sums],
-                           *[F.sum(n).over(whole).alias(f"{n}_all") for n in sums])
     celled = value_cells(flat, group, value, cells)
     prefix = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     per_cell = celled.groupBy(*group, "_cell").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])
@@ -74,18 +63,19 @@ def average_rank(df: DataFrame, group: Sequence[str], value: str, out: str, **li
 
 
 def small_group_rank(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
-    """Average rank by plain windows, for groups whose size is bounded (one day, one hour) or was measured."""
+    """Average rank by plain windows, for groups of one key's day."""
     w = Window.partitionBy(*group).orderBy(value)
     ties = Window.partitionBy(*group, value)
     return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0))
 
 
-def rank_columns(rows: DataFrame, group: Sequence[str], columns: Mapping[str, str], *, bounded: bool = False,
-                 plain_limit: int = PLAIN_LIMIT) -> DataFrame:
-    """Average ranks of several columns (source -> output).  ``rows`` should be a table or a checkpoint."""
-    small = bounded or largest_group(rows, group) <= plain_limit
+def rank_columns(rows: DataFrame, group: Sequence[str], columns: Mapping[str, str], *, by_day: bool = False) -> DataFrame:
+    """Average ranks of several columns (source -> output).  ``rows`` should be a table or a checkpoint.
+
+    ``by_day`` states that ``group`` names one key's day, which holds no more rows than the day has bars.
+    """
     for value, out in columns.items():
-        rows = small_group_rank(rows, group, value, out) if small else average_rank(rows, group, value, out, plain_limit=plain_limit)
+        rows = small_group_rank(rows, group, value, out) if by_day else average_rank(rows, group, value, out)
     return rows
 
 
@@ -107,13 +97,10 @@ def auc(df: DataFrame, group: Sequence[str], score: str, label: str, weight: Col
 
 
 def ordinal_rank(df: DataFrame, group: Sequence[str], value: str, tie: Sequence[str], out: str, *,
-                 descending: bool = True, cells: int = CELLS, plain_limit: int = PLAIN_LIMIT) -> DataFrame:
-    """Rank from 1, ties broken by the ``tie`` columns; large groups are cut into value cells."""
+                 descending: bool = True, cells: int = CELLS) -> DataFrame:
+    """Rank from 1, ties broken by the ``tie`` columns; groups are cut into value cells."""
     group = list(group)
     keyed = materialise(df.withColumn("_v", F.col(value) * (-1 if descending else 1)))
-    if largest_group(keyed, group) <= plain_limit:
-        w = Window.partitionBy(*group).orderBy("_v", *tie)
-        return keyed.withColumn(out, F.row_number().over(w)).drop("_v")
     celled = value_cells(keyed, group, "_v", cells)
     prefix = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = celled.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_k")).select(

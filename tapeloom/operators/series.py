@@ -107,16 +107,14 @@ def regular_bars(bars: DataFrame, step: int) -> DataFrame:
     return out.select("symbol", "t", F.col("held").alias("close"), F.col("close").isNull().alias("filled"))
 
 
-def interpolated(grid: DataFrame, column: str, reach: int) -> DataFrame:
-    """Linear between known neighbours at most ``reach`` rows away; ends stay NULL."""
-    tiled = tiling.tile(grid, ["symbol"], "t", behind=reach, ahead=reach)
-    w = tiling.tile_window(["symbol"])
-    point = F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("v"), F.col("t").alias("t")))
-    tiled = tiled.withColumns({"_p": F.last(point, ignorenulls=True).over(w.rowsBetween(-reach, 0)),
-                               "_n": F.first(point, ignorenulls=True).over(w.rowsBetween(0, reach))})
-    line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col("t") - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
-    return tiling.untile(tiled.withColumn(column, F.when(F.col(column).isNotNull(), F.col(column)).when(
-        F.col("_p").isNotNull() & F.col("_n").isNotNull(), line))).drop("_p", "_n")
+def interpolated(grid: DataFrame, column: str) -> DataFrame:
+    """Linear between the known neighbours, however far they are; ends stay NULL."""
+    known = grid.filter(F.col(column).isNotNull()).select("symbol", F.col("t").alias("_at"), F.col(column).alias("_value"))
+    back = asof_join(grid, known, ["symbol"], "t", "_at", ["_at", "_value"]).withColumnsRenamed({"_at": "_t0", "_value": "_v0"})
+    both = asof_join(back, known, ["symbol"], "t", "_at", ["_at", "_value"], forward=True).withColumnsRenamed({"_at": "_t1", "_value": "_v1"})
+    line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("t") - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
+    filled = F.when(F.col(column).isNotNull(), F.col(column)).when(F.col("_v0").isNotNull() & F.col("_v1").isNotNull(), line)
+    return both.withColumn(column, filled).drop("_t0", "_v0", "_t1", "_v1")
 
 
 def max_gap(ticks: DataFrame, long_s: float) -> DataFrame:

@@ -42,18 +42,18 @@ def safe_corr(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, *, bounded: bool = False, out: str = "ic") -> DataFrame:
+def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, *, by_day: bool = False, out: str = "ic") -> DataFrame:
     """Pearson correlation of average ranks on complete pairs, with the pair count."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if not bounded:
+    if not by_day:
         rows = ranks.materialise(rows.select(*group, x, y))
-    rows = ranks.rank_columns(rows, group, {x: "_rx", y: "_ry"}, bounded=bounded)
+    rows = ranks.rank_columns(rows, group, {x: "_rx", y: "_ry"}, by_day=by_day)
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), safe_corr("_rx", "_ry").alias(out))
 
 
 def daily_ic(df: DataFrame, group: Sequence[str], day: str, month: str, x: str, y: str, *, least: int) -> DataFrame:
     """Rank correlation inside each day; its mean, t statistic, and share of months with the sign of the overall rank correlation."""
-    days = spearman(df, [*group, month, day], x, y, bounded=True).filter((F.col("n") >= least) & F.col("ic").isNotNull())
+    days = spearman(df, [*group, month, day], x, y, by_day=True).filter((F.col("n") >= least) & F.col("ic").isNotNull())
     months = days.groupBy(*group, month).agg(F.avg("ic").alias("_m"), F.sum("ic").alias("_s"), F.count(F.lit(1)).alias("_k"), F.sum(F.col("ic") * F.col("ic")).alias("_q"))
     total = months.groupBy(*group).agg(
         F.sum("_k").alias("n_days"), (F.sum("_s") / F.sum("_k")).alias("ic_daily_mean"), F.sum("_q").alias("_q"), F.sum("_s").alias("_s"),
@@ -332,7 +332,7 @@ def rank_persistence(df: DataFrame, entity: str, period: str, value: str, lags:
     later = df.select(entity, F.col(period).alias("_p2"), F.col(value).alias("_v2"))
     shifted = df.withColumn("k", F.explode(F.array(*[F.lit(k) for k in lags]))).withColumn("_p2", F.col(period) + F.col("k"))
     pairs = shifted.join(later, [entity, "_p2"])
-    ic = spearman(pairs, ["k", period], value, "_v2", bounded=True).filter(F.col("n") >= 3)
+    ic = spearman(pairs, ["k", period], value, "_v2").filter(F.col("n") >= 3)
     return ic.groupBy("k").agg(F.count("ic").alias("n_periods"), F.avg("ic").alias("ic_mean"), F.sum("n").alias("n_pairs"))
 
 

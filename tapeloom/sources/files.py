@@ -16,6 +16,16 @@ METRIC_NAMES = {"sum_open_interest": "open_interest", "sum_open_interest_value":
                 "count_toptrader_long_short_ratio": "ls_ratio_top_accounts", "sum_taker_long_short_vol_ratio": "taker_ls_ratio"}
 
 
+METRICS = ("create_time STRING, symbol STRING, sum_open_interest STRING, sum_open_interest_value STRING, count_toptrader_long_short_ratio STRING, "
+           "sum_toptrader_long_short_ratio STRING, count_long_short_ratio STRING, sum_taker_long_short_vol_ratio STRING")
+FUNDING = "calc_time BIGINT, funding_interval_hours INT, last_funding_rate DOUBLE"
+
+
+def file_order() -> Column:
+    """Orders rows as they stand in their files, whatever the splits."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
 def epoch_to_timestamp(x: Column) -> Column:
     """Timestamp from seconds, milliseconds, microseconds or nanoseconds, told apart by magnitude."""
     us = F.when(x < 1e11, x * 1000000).when(x < 1e14, x * 1000).when(x < 1e17, x).otherwise(F.floor(x / 1000))
@@ -35,33 +45,36 @@ def klines(spark: SparkSession, path: str | Sequence[str], symbol: str, *, bar_s
     dropped and the last copy of a bar is kept (by file, then position)."""
     raw = spark.read.schema(KLINE).option("mode", "PERMISSIVE").csv(path)
     at = F.expr("try_cast(open_time AS BIGINT)")
-    rows = raw.withColumn("_seq", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+    rows = raw.withColumn("_seq", file_order())
     rows = rows.withColumn("_at", at).filter(F.col("_at").isNotNull()).withColumn("open_time", epoch_to_timestamp(F.col("_at")))
     rows = rows.filter(F.unix_seconds("open_time") + bar_s <= now_s).withColumn("symbol", F.lit(symbol))
     return keep_last(rows.drop("_at", "close_time", "taker_buy_quote_volume", "ignore"), ["symbol", "open_time"], "_seq").drop("_seq")
 
 
 def metrics(spark: SparkSession, path: str | Sequence[str], lag_s: int = 300) -> DataFrame:
-    """Derivative metrics, available ``lag_s`` after their creation; missing names become NULL columns."""
-    raw = spark.read.option("header", True).csv(path)
-    cols = [F.expr(f"try_cast({a} AS DOUBLE)").alias(b) if a in raw.columns else F.lit(None).cast("double").alias(b) for a, b in METRIC_NAMES.items()]
+    """Derivative metrics, available ``lag_s`` after their creation; of rows of one time the last in the files stays."""
+    raw = spark.read.schema(METRICS).option("header", True).csv(path)
+    cols = [F.expr(f"try_cast({a} AS DOUBLE)").alias(b) for a, b in METRIC_NAMES.items()]
     at = F.unix_seconds(F.expr("try_to_timestamp(create_time)")) + lag_s
-    rows = raw.select("symbol", at.alias("available"), *cols, F.monotonically_increasing_id().alias("_seq")).filter(F.col("available").isNotNull())
+    rows = raw.select("symbol", at.alias("available"), *cols, file_order().alias("_seq")).filter(F.col("available").isNotNull())
     return keep_last(rows, ["symbol", "available"], "_seq").drop("_seq")
 
 
 def funding(spark: SparkSession, path: str | Sequence[str], symbol: str) -> DataFrame:
-    raw = spark.read.option("header", True).csv(path)
-    return raw.select(F.lit(symbol).alias("symbol"), F.ceil(F.col("calc_time").cast("long") / 1000).alias("available"), F.col("last_funding_rate").cast("double").alias("funding_rate"))
+    """Funding rates by the second they are known; of repeated rows the last in the files stays."""
+    raw = spark.read.schema(FUNDING).option("header", True).csv(path)
+    rows = raw.select(F.lit(symbol).alias("symbol"), F.ceil(F.col("calc_time") / 1000).alias("available"), F.col("last_funding_rate").alias("funding_rate"), file_order().alias("_seq"))
+    return keep_last(rows.filter(F.col("available").isNotNull()), ["symbol", "available"], "_seq").drop("_seq")
 
 
 def combine_measures(*frames: DataFrame) -> DataFrame:
-    """Union of measures on their availability; per instant the last known value of each column."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    values = [c for c in out.columns if c not in ("symbol", "available")]
-    return out.groupBy("symbol", "available").agg(*[F.max(c).alias(c) for c in values])
+    """Union of measures on their availability; per instant the last known value of each column, in the frames' order."""
+    out = frames[0].withColumn("_order", F.lit(0))
+    for k, f in enumerate(frames[1:], 1):
+        out = out.unionByName(f.withColumn("_order", F.lit(k)), allowMissingColumns=True)
+    values = [c for c in out.columns if c not in ("symbol", "available", "_order")]
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order")))
+    return out.groupBy("symbol", "available").agg(*[known(c).alias(c) for c in values])
 
 
 def trade_tape(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -91,21 +104,38 @@ def market_metadata(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
     return out.withColumn("resolved_up", F.when(F.col("closed"), known))
 
 
-def book_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Compact book log, one JSON object per line; lines cut off by a killed writer are dropped.  A trade written to two
-    segments is kept once."""
-    schema = "rx BIGINT, e STRING, a INT, ts BIGINT, b ARRAY<ARRAY<DOUBLE>>, k ARRAY<ARRAY<DOUBLE>>, c ARRAY<ARRAY<STRING>>, bb DOUBLE, ba DOUBLE, p DOUBLE, s DOUBLE, side STRING, tx STRING"
-    r = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).withColumn("_one", F.when(F.col("e") == "trade", F.struct("a", "ts", "p", "s", "side", "tx")))
+BOOK = ("rx BIGINT, e STRING, a INT, ts BIGINT, b ARRAY<ARRAY<DOUBLE>>, k ARRAY<ARRAY<DOUBLE>>, c ARRAY<ARRAY<STRING>>, bb DOUBLE, ba DOUBLE, "
+        "p DOUBLE, s DOUBLE, side STRING, tx STRING, _bad STRING")
+
+
+def book_log(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad lines by file) of a compact book log, one JSON object per line.
+
+    Lines cut off by a killed writer are counted, not kept.  A trade written to two segments is kept once.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    r = lines.select("file", F.from_json("value", BOOK, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("file", "r.*")
+    bad = r.filter(F.col("_bad").isNotNull()).groupBy("file").agg(F.count(F.lit(1)).alias("bad_lines"))
+    good = r.filter(F.col("_bad").isNull()).drop("_bad", "file").withColumn("_one", F.when(F.col("e") == "trade", F.struct("a", "ts", "p", "s", "side", "tx")))
     first = F.row_number().over(Window.partitionBy("_one").orderBy("rx"))
-    trades = r.filter(F.col("_one").isNotNull()).withColumn("_n", first).filter(F.col("_n") == 1).drop("_n")
-    return r.filter(F.col("_one").isNull()).unionByName(trades).drop("_one")
+    trades = good.filter(F.col("_one").isNotNull()).withColumn("_n", first).filter(F.col("_n") == 1).drop("_n")
+    return good.filter(F.col("_one").isNull()).unionByName(trades).drop("_one"), bad
 
 
 def tick_log(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Quotes and trades of an exchange log, told apart by the stream name."""
-    r = spark.read.schema("rx BIGINT, stream STRING, b DOUBLE, a DOUBLE, B DOUBLE, A DOUBLE, E BIGINT, T BIGINT, p DOUBLE, q DOUBLE, m BOOLEAN".replace(" B DOUBLE, A DOUBLE,", "")).json(path)
-    quotes = r.filter(F.col("stream").endswith("@bookTicker")).select("rx", F.col("b").alias("bid"), F.col("a").alias("ask"), ((F.col("b") + F.col("a")) / 2).alias("mid"))
-    trades = r.filter(F.col("stream").endswith("@aggTrade")).select("rx", "E", "T", F.col("p").alias("price"), F.col("q").alias("qty"), F.col("m").alias("buyer_maker"))
+    """Quotes (with sizes) and trades of an exchange log by symbol, told apart by the stream name.
+
+    Field names differ by case only, so they are taken from the line by path.
+    """
+    line = spark.read.text(path)
+    at = lambda name, kind: F.get_json_object("value", f"$.{name}").cast(kind)
+    stream = at("stream", "string")
+    head = (at("rx", "long").alias("rx"), F.upper(F.substring_index(stream, "@", 1)).alias("symbol"))
+    quotes = line.filter(stream.endswith("@bookTicker")).select(
+        *head, at("b", "double").alias("bid"), at("a", "double").alias("ask"), at("B", "double").alias("bid_sz"), at("A", "double").alias("ask_sz"),
+        ((at("b", "double") + at("a", "double")) / 2).alias("mid"))
+    trades = line.filter(stream.endswith("@aggTrade")).select(
+        *head, at("E", "long").alias("event_ms"), at("T", "long").alias("trade_ms"), at("p", "double").alias("price"), at("q", "double").alias("qty"), at("m", "boolean").alias("buyer_maker"))
     return quotes, trades
 
 
@@ -116,8 +146,8 @@ def prefer_live(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("symbol", "day")) -> None:
-    """Parquet by key and day, so readers prune by both."""
-    df.write.mode("overwrite").partitionBy(*by).option("compression", "zstd").parquet(path)
+    """Parquet by key and day, so readers prune by both; only the partitions that ``df`` has rows of are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).option("compression", "zstd").parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -34,13 +34,13 @@ def test_ranks_in_cells_match_pandas(spark):
     p.loc[:250, "x"] = 7.0  # one value holds a third of all rows
     p["y"] = (rng.random(900) < 0.3 + p.x / 100).astype(int)
     df = spark.createDataFrame(p)
-    for limit in (0, 10**6):
-        got = ranks.average_rank(df, ["g"], "x", "r", cells=8, plain_limit=limit).orderBy("i").toPandas()
+    for cells in (2, 8, 256):
+        got = ranks.average_rank(df, ["g"], "x", "r", cells=cells).orderBy("i").toPandas()
         np.testing.assert_allclose(got.r, p.groupby("g").x.rank())
-        o = ranks.ordinal_rank(df, ["g"], "x", ["i"], "r", cells=8, plain_limit=limit).orderBy("i").toPandas()
+        o = ranks.ordinal_rank(df, ["g"], "x", ["i"], "r", cells=cells).orderBy("i").toPandas()
         want = p.sort_values(["x", "i"], ascending=[False, True]).groupby("g").cumcount().sort_index() + 1
         assert (o.r.to_numpy() == want.to_numpy()).all()
-        a = ranks.auc(df, ["g"], "x", "y", cells=8, plain_limit=limit).toPandas().set_index("g").auc
+        a = ranks.auc(df, ["g"], "x", "y", cells=cells).toPandas().set_index("g").auc
         for g, q in p.groupby("g"):
             pos, neg = q[q.y == 1].x.to_numpy()[:, None], q[q.y == 0].x.to_numpy()[None, :]
             assert a[g] == pytest.approx(((pos > neg) + 0.5 * (pos == neg)).mean())
@@ -65,3 +65,17 @@ def test_draw_weights_have_mean_and_variance_one(spark):
     w = spark.range(200).select(F.col("id").alias("c"), F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b"))
     m, v = w.select(stats.draw_weight(F.col("c"), F.col("b")).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
     assert abs(m - 1) < 0.03 and abs(v - 1) < 0.05
+
+
+def test_normal_ppf(spark):
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    from tapeloom.functions.numeric import normal_ppf
+
+    points = [1e-300, 1e-20, 1e-6, 0.01, 0.0749, 0.075, 0.3, 0.5, 0.8, 0.925, 0.99, 1 - 1e-12]
+    rows = spark.createDataFrame([(p,) for p in [*points, 0.0, 1.0, -1.0, None]], "p double").select("p", normal_ppf(F.col("p")).alias("z")).collect()
+    for r in rows:
+        want = NormalDist().inv_cdf(r.p) if r.p is not None and 0 < r.p < 1 else None
+        assert r.z == want or abs(r.z - want) < 1e-14 * max(1, abs(want))
