@@ -7,12 +7,13 @@ the smallest hash (all of them, on ties) is taken, so equal runs hold equal anch
 1. documents with equal words are one: if they repeat and have a run at all, all their words go, and one of them
    stands for the others;
 2. anchors found once are set aside; the rest are the seeds;
-3. around each seed a document's words are kept as far as a run that holds the seed can reach. The occurrence with
-   the smallest key is the seed's leader; each other occurrence is joined with it and extended to both sides while
-   the words agree. What agrees over ``size`` words or more is a maximal repeat with the leader, and both ends' words
-   are marked;
-4. runs in which an occurrence does not agree with its leader can only agree with each other: equality of runs is
-   transitive. Their hashes are counted, each at its first seed, and those that meet again are marked too.
+3. the occurrence with the smallest key is the seed's leader. Around each seed a document's words are kept as far as
+   a run that holds the seed can reach; each other occurrence is joined with its leader and extended to both sides
+   while the words agree. What agrees over ``size`` words or more is a maximal repeat with the leader, and both ends'
+   words are marked;
+4. runs in which an occurrence does not agree with its leader can only agree with those of a third one: equality of
+   runs is transitive, and equal runs hold the same first seed at the same place. Where a seed has three occurrences
+   or more, the hashes of such runs are counted, each at its first seed, and those that meet again are marked too.
 
 A passage in a third of all documents thus costs one row for each of its anchors and documents, never a pair of
 documents, and sums by hash are taken before rows are shuffled. Joins on a common seed are split by adaptive
@@ -35,7 +36,8 @@ from tapeloom.llm.text import chunks, window_hashes, words
 
 SIZE, SEED = 35, 12
 NONE = np.uint64(0)
-TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Occurrences of a seed: its leader, the other one of two, one of three or more.
+LEADER, OTHER, CROWD = 0, 1, 2
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -93,8 +95,8 @@ def sketches(docs: DataFrame, size: int, seed: int) -> DataFrame:
 def contexts(docs: DataFrame, size: int, seed: int) -> DataFrame:
     """One row for each seed of a document: the words on both sides as far as a run that holds the seed can reach.
 
-    ``docs`` has row_key, text and seeds (places). ``gap`` tells how many words lie between this seed's first word
-    and that of the seed before it, if a run can hold both.
+    ``docs`` has row_key, text and seeds (place, kind). ``gap`` tells how many words lie between this seed's first
+    word and that of the seed before it, if a run can hold both.
     """
     reach = size - seed
 
@@ -106,9 +108,10 @@ def contexts(docs: DataFrame, size: int, seed: int) -> DataFrame:
                 lists = part.column(2)
                 count = np.diff(lists.offsets.to_numpy())
                 doc = np.repeat(np.arange(len(at) - 1), count)
-                place = lists.flatten().to_numpy().astype(np.int64)
+                entries = lists.flatten()
+                place, kind = (entries.field(k).to_numpy() for k in (0, 1))
                 order = np.lexsort((place, doc))
-                doc, place = doc[order], place[order]
+                doc, place, kind = doc[order], place[order].astype(np.int64), kind[order]
                 before = np.full(len(place), -(1 << 30))
                 before[1:] = np.where(doc[1:] == doc[:-1], place[:-1], before[1:])
                 left = np.minimum(place, reach)
@@ -120,11 +123,11 @@ def contexts(docs: DataFrame, size: int, seed: int) -> DataFrame:
                 grams = window_hashes(w.hash, seed)
                 anchor = np.maximum(grams[w.first[doc] + place], np.uint64(1)) if len(place) else np.zeros(0, np.uint64)
                 yield pa.record_batch(
-                    [pa.array(anchor.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(np.minimum(place - before, reach + 1).astype(np.int32)), whole],
-                    names=["anchor", "row_key", "place", "left", "gap", "context"],
+                    [pa.array(anchor.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(np.minimum(place - before, reach + 1).astype(np.int32)), pa.array(kind), whole],
+                    names=["anchor", "row_key", "place", "left", "gap", "kind", "context"],
                 )
 
-    return docs.select("row_key", "text", "seeds").mapInArrow(around, "anchor long, row_key long, place int, left int, gap int, context array<long>")
+    return docs.select("row_key", "text", "seeds").mapInArrow(around, "anchor long, row_key long, place int, left int, gap int, kind byte, context array<long>")
 
 
 def extended(pairs: DataFrame, size: int, seed: int) -> DataFrame:
@@ -153,7 +156,7 @@ def extended(pairs: DataFrame, size: int, seed: int) -> DataFrame:
                     shift = -1 - k if step < 0 else k
                     going = going[a[a_seed[going] + shift] == b[b_seed[going] + shift]]
                     reached[going] += 1
-            found = (back + ahead >= size) & ~batch.column("is_leader").to_numpy(zero_copy_only=False)
+            found = back + ahead >= size
             place, lead_place = cols["place"].astype(np.int64), cols["lead_place"].astype(np.int64)
             spans = [
                 pa.StructArray.from_arrays([pa.array((p - back).astype(np.int32)), pa.array((p + ahead).astype(np.int32))], fields=list(span), mask=pa.array(~found))
@@ -163,7 +166,7 @@ def extended(pairs: DataFrame, size: int, seed: int) -> DataFrame:
             runs = window_hashes(a, size)
             reach = np.minimum(np.minimum(left, cols["gap"].astype(np.int64) - 1), size - seed)
             fewest = np.maximum(0, size - right)
-            count = np.maximum(0, reach - fewest + 1)
+            count = np.where(batch.column("kind").to_numpy() == CROWD, np.maximum(0, reach - fewest + 1), 0)
             owner = np.repeat(np.arange(n), count)
             off = np.repeat(fewest, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             agree = found[owner] & (off <= back[owner]) & (size - off <= ahead[owner])
@@ -189,24 +192,24 @@ def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col: str = "
     ones = stored(groups, folder, "groups")
     single = known.join(ones.select("row_key"), "row_key", "left_semi")
     placed = single.select("row_key", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("row_key", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
-    again = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    seeds = placed.join(again, "anchor").groupBy("row_key").agg(F.collect_list("place").alias("seeds"))
+    again = placed.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "place")).alias("lead")).where("n > 1")
+    kind = F.when(F.struct("row_key", "place") == F.col("lead"), LEADER).when(F.col("n") == 2, OTHER).otherwise(CROWD).cast("byte").alias("kind")
+    seeds = placed.join(again, "anchor").groupBy("row_key").agg(F.collect_list(F.struct("place", kind)).alias("seeds"))
     texts = rows.withColumn("row_key", row_key()).select("row_key", "text")
     # a repeated row brings its text more than once; all its words go anyway
     around = stored(contexts(texts.join(seeds, "row_key"), size, seed), folder, "contexts")
-    leader = around.groupBy("anchor").agg(F.min(F.struct("row_key", "place")).alias("lead"))
-    named = around.join(leader, "anchor")
-    lead = named.where((F.col("row_key") == F.col("lead.row_key")) & (F.col("place") == F.col("lead.place"))).select("anchor", F.col("row_key").alias("lead_key"), F.col("place").alias("lead_place"), F.col("left").alias("lead_left"), F.col("gap").alias("lead_gap"), F.col("context").alias("lead_context"))
-    pairs = around.join(lead, "anchor").withColumn("is_leader", (F.col("row_key") == F.col("lead_key")) & (F.col("place") == F.col("lead_place")))
-    met = stored(extended(pairs, size, seed), folder, "extended")
+    lead = around.where(F.col("kind") == LEADER).select("anchor", F.col("row_key").alias("lead_key"), F.col("place").alias("lead_place"), F.col("left").alias("lead_left"), F.col("context").alias("lead_context"))
+    met = stored(extended(around.where(F.col("kind") != LEADER).join(lead, "anchor"), size, seed), folder, "extended")
     both = met.where("mine is not null").select("row_key", "mine").union(met.where("mine is not null").select("lead_key", "its")).select("row_key", F.col("mine.start").alias("start"), F.col("mine.end").alias("end"))
     return known, stored(_gathered(both.union(_rest(met, size))), folder, "spans")
 
 
 def _rest(met: DataFrame, size: int) -> DataFrame:
-    """Spans of the runs that agree with no leader but with each other."""
+    """Spans of the runs that agree with no leader but with each other; a run that meets only itself, by a leader
+    that is there more than once, is none."""
     runs = met.select("row_key", F.explode("open").alias("o")).select("row_key", "o.run", "o.start")
-    again = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    at = F.struct("row_key", "start")
+    again = runs.groupBy("run").agg(F.min(at).alias("one"), F.max(at).alias("two")).where("one <> two").select("run")
     return runs.join(again, "run").select("row_key", "start", (F.col("start") + size).alias("end"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,9 +55,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps no longer depend on its lineage."""
+    """Write a table to the shared folder and read it back: later steps no longer depend on its lineage.
+
+    The shuffle files behind it are of no more use; Spark's cleaner removes them once the driver collects its garbage,
+    which is asked for here, so that the disks hold one step's shuffles and not those of a whole query.
+    """
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
