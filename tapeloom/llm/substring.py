@@ -17,7 +17,7 @@ the smallest hash (all of them, on ties) is taken, so equal runs hold equal anch
 
 A passage in a third of all documents thus costs one row for each of its anchors and documents, never a pair of
 documents, and sums by hash are taken before rows are shuffled. Joins on a common seed are split by adaptive
-execution. Words are compared by 64-bit hashes. A null or empty text has no words; repeated rows are repeats of each
+execution. Words are told apart by 64-bit hashes, in the extension by 40 bits of them. A null or empty text has no words; repeated rows are repeats of each
 other; rows that agree in id and text get the same marks.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.tables import documents, prepare, row_key, shared_folder, stored
-from tapeloom.llm.text import chunks, window_hashes, words
+from tapeloom.llm.text import chunks, utf8, window_hashes, words
 
 SIZE, SEED = 35, 12
 NONE = np.uint64(0)
@@ -119,15 +119,25 @@ def contexts(docs: DataFrame, size: int, seed: int) -> DataFrame:
                 start, length = w.first[doc] + place - left, left + right
                 cuts = np.concatenate([[0], np.cumsum(length)])
                 spread = np.repeat(start - cuts[:-1], length) + np.arange(cuts[-1])
-                whole = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(w.hash[spread].view(np.int64)))
+                short = w.hash >> np.uint64(24)
+                low, high = short.astype(np.uint32).view(np.int32)[spread], (short >> np.uint64(32)).astype(np.uint8)[spread]
+                ends = pa.array(cuts.astype(np.int32))
+                whole = [pa.ListArray.from_arrays(ends, pa.array(low)), pa.BinaryArray.from_buffers(pa.binary(), len(place), [None, ends.buffers()[1], pa.py_buffer(high.tobytes())])]
                 grams = window_hashes(w.hash, seed)
                 anchor = np.maximum(grams[w.first[doc] + place], np.uint64(1)) if len(place) else np.zeros(0, np.uint64)
                 yield pa.record_batch(
-                    [pa.array(anchor.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(np.minimum(place - before, reach + 1).astype(np.int32)), pa.array(kind), whole],
-                    names=["anchor", "row_key", "place", "left", "gap", "kind", "context"],
+                    [pa.array(anchor.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(np.minimum(place - before, reach + 1).astype(np.int32)), pa.array(kind), *whole],
+                    names=["anchor", "row_key", "place", "left", "gap", "kind", "low", "high"],
                 )
 
-    return docs.select("row_key", "text", "seeds").mapInArrow(around, "anchor long, row_key long, place int, left int, gap int, kind byte, context array<long>")
+    return docs.select("row_key", "text", "seeds").mapInArrow(around, "anchor long, row_key long, place int, left int, gap int, kind byte, low array<int>, high binary")
+
+
+def _words(low: pa.ListArray, high: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of several contexts, and where each begins."""
+    flat, _ = utf8(high)
+    values = low.flatten().to_numpy().view(np.uint32).astype(np.uint64) | (flat.astype(np.uint64) << np.uint64(32))
+    return values, np.concatenate([[0], np.cumsum(np.diff(low.offsets.to_numpy()))])
 
 
 def extended(pairs: DataFrame, size: int, seed: int) -> DataFrame:
@@ -142,9 +152,7 @@ def extended(pairs: DataFrame, size: int, seed: int) -> DataFrame:
             if not n:
                 continue
             cols = {k: batch.column(k).to_numpy() for k in ("place", "left", "gap", "lead_place", "lead_left")}
-            mine, its = batch.column("context"), batch.column("lead_context")
-            a, b = (x.flatten().to_numpy().view(np.uint64) for x in (mine, its))
-            a_off, b_off = (np.concatenate([[0], np.cumsum(np.diff(x.offsets.to_numpy()))]) for x in (mine, its))
+            (a, a_off), (b, b_off) = (_words(batch.column(f"{side}low"), batch.column(f"{side}high")) for side in ("", "lead_"))
             left, lead_left = cols["left"].astype(np.int64), cols["lead_left"].astype(np.int64)
             right, lead_right = np.diff(a_off) - left, np.diff(b_off) - lead_left
             a_seed, b_seed = a_off[:-1] + left, b_off[:-1] + lead_left
@@ -198,7 +206,7 @@ def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col: str = "
     texts = rows.withColumn("row_key", row_key()).select("row_key", "text")
     # a repeated row brings its text more than once; all its words go anyway
     around = stored(contexts(texts.join(seeds, "row_key"), size, seed), folder, "contexts")
-    lead = around.where(F.col("kind") == LEADER).select("anchor", F.col("row_key").alias("lead_key"), F.col("place").alias("lead_place"), F.col("left").alias("lead_left"), F.col("context").alias("lead_context"))
+    lead = around.where(F.col("kind") == LEADER).select("anchor", F.col("row_key").alias("lead_key"), F.col("place").alias("lead_place"), F.col("left").alias("lead_left"), F.col("low").alias("lead_low"), F.col("high").alias("lead_high"))
     met = stored(extended(around.where(F.col("kind") != LEADER).join(lead, "anchor"), size, seed), folder, "extended")
     both = met.where("mine is not null").select("row_key", "mine").union(met.where("mine is not null").select("lead_key", "its")).select("row_key", F.col("mine.start").alias("start"), F.col("mine.end").alias("end"))
     return known, stored(_gathered(both.union(_rest(met, size))), folder, "spans")
