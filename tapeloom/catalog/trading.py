@@ -65,44 +65,51 @@ def _(spark, d):
 # -- resting orders on the tape ------------------------------------------------------------------------------------------------
 
 SPAN = 86400 * 90
-ORD_SQL = f"""tk AS (SELECT condition, ts AS t, seq, size, CASE WHEN (side, outcome) = ('SELL', 'Up') THEN price WHEN (side, outcome) = ('BUY', 'Down') THEN 1 - price END AS cp,
-  CASE WHEN (side, outcome) = ('BUY', 'Up') THEN price WHEN (side, outcome) = ('SELL', 'Down') THEN 1 - price END AS ap FROM tape WHERE role = 'taker'),
-od AS (SELECT condition, seq * 10 + k.k AS order_id, ts AS t_place, ts + {SPAN} AS t_cancel, k.lv AS level, 20.0 AS q_ahead, 5.0 AS size, resolved_up AS won FROM trades, (SELECT unnest([1, 2]) AS k, unnest([0.35, 0.55]) AS lv) k WHERE role = 'maker' AND seq % 5 = 0),
+BACK = 86400 * 30
+ORD_SQL = f"""tk AS (SELECT condition, bid, ts AS t, seq, size, CASE WHEN side = 'SELL' AND outcome = bid THEN price WHEN side = 'BUY' AND outcome <> bid THEN 1 - price END AS cp,
+  CASE WHEN side = 'BUY' AND outcome = bid THEN price WHEN side = 'SELL' AND outcome <> bid THEN 1 - price END AS ap FROM tape, (SELECT unnest(['Up', 'Down']) AS bid) WHERE role = 'taker'),
+od0 AS (SELECT condition, k.bid, seq * 10 + k.k AS order_id, ts AS t_place, ts + {SPAN} AS t_cancel, k.lv AS level, 20.0 AS q_ahead, 5.0 AS size, resolved_up = (k.bid = 'Up') AS won
+  FROM trades, (SELECT unnest([1, 2, 3, 4]) AS k, unnest([0.35, 0.55, 0.35, 0.55]) AS lv, unnest(['Up', 'Up', 'Down', 'Down']) AS bid) k WHERE role = 'maker'),
+od AS (SELECT o.*, EXISTS (SELECT 1 FROM tk WHERE tk.condition = o.condition AND tk.bid = o.bid AND tk.ap <= o.level + 1e-9 AND tk.t >= o.t_place + 3600 - {BACK} AND tk.t < o.t_place + 3600) AS crossing FROM od0 o),
 lo AS (SELECT od.order_id, tk.t, tk.seq, tk.cp, od.level, od.q_ahead, od.size AS need, sum(CASE WHEN tk.cp <= od.level + 1e-9 THEN tk.size ELSE 0 END) OVER (PARTITION BY od.order_id ORDER BY tk.t, tk.seq ROWS UNBOUNDED PRECEDING) AS cum
-  FROM od JOIN tk ON tk.condition = od.condition AND tk.cp IS NOT NULL AND tk.t >= od.t_place + 3600 AND tk.t < od.t_cancel + 3600),
-fl AS (SELECT order_id, min(CASE WHEN cp < level - 1e-9 THEN (t, seq) END) AS b, min(CASE WHEN cum >= q_ahead + need - 1e-9 THEN (t, seq) END) AS qq FROM lo GROUP BY 1),
-fills AS (SELECT od.*, CASE WHEN b IS NOT NULL AND (qq IS NULL OR b <= qq) THEN b[1] ELSE qq[1] END AS t_fill, CASE WHEN b IS NOT NULL AND (qq IS NULL OR b <= qq) THEN 'traversal' WHEN qq IS NOT NULL THEN 'queue' END AS reason FROM od LEFT JOIN fl USING (order_id))"""
+  FROM od JOIN tk ON tk.condition = od.condition AND tk.bid = od.bid AND tk.cp IS NOT NULL AND tk.t >= od.t_place + 3600 AND tk.t < od.t_cancel + 3600 WHERE NOT crossing),
+fl AS (SELECT order_id, min(CASE WHEN cp < level - 1e-9 THEN (t, seq, cum) END) AS b, min(CASE WHEN cum >= q_ahead + need - 1e-9 THEN (t, seq, cum) END) AS qq, max(cum) AS whole FROM lo GROUP BY 1),
+fills AS (SELECT od.*, CASE WHEN b IS NOT NULL AND (qq IS NULL OR b <= qq) THEN b[1] ELSE qq[1] END AS t_fill, CASE WHEN b IS NOT NULL AND (qq IS NULL OR b <= qq) THEN 'traversal' WHEN qq IS NOT NULL THEN 'queue' END AS reason,
+  CASE WHEN NOT crossing THEN coalesce(CASE WHEN b IS NOT NULL AND (qq IS NULL OR b <= qq) THEN b[3] ELSE qq[3] END, whole, 0) END AS consumed FROM od LEFT JOIN fl USING (order_id))"""
 
 
 def order_inputs(spark, d):
+    """One bid per maker row, side and level, and taker trades as each side's bids see them."""
     from tapeloom.operators.ledger import attach_market_info
     t = attach_market_info(v.tape(spark, d), v.tape_markets(spark, d))
-    prices = tapes.clearance_prices()
-    tk = t.filter(F.col("role") == "taker").select("condition", F.col("ts").alias("t"), "seq", "size", prices["cp_up"].alias("cp"), prices["ap_up"].alias("ap"))
-    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lv).alias("level")) for k, lv in ((1, 0.35), (2, 0.55))])
-    od = t.filter((F.col("role") == "maker") & (F.col("seq") % 5 == 0)).select("condition", "seq", "ts", F.col("resolved_up").alias("won"), F.inline(grid)).select(
-        "condition", (F.col("seq") * 10 + F.col("k")).alias("order_id"), F.col("ts").alias("t_place"), (F.col("ts") + SPAN).alias("t_cancel"), "level",
-        F.lit(20.0).alias("q_ahead"), F.lit(5.0).alias("size"), "won")
+    sides = v.tape(spark, d).filter(F.col("role") == "taker").withColumn("bid", F.explode(F.array(F.lit("Up"), F.lit("Down"))))
+    own, sells = F.col("outcome") == F.col("bid"), F.col("side") == "SELL"
+    seen = lambda same: F.when(same & own, F.col("price")).when(~same & ~own, 1 - F.col("price"))
+    tk = sides.select("condition", "bid", F.col("ts").alias("t"), "seq", "size", seen(sells).alias("cp"), seen(~sells).alias("ap"))
+    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lv).alias("level"), F.lit(bid).alias("bid")) for k, lv, bid in ((1, 0.35, "Up"), (2, 0.55, "Up"), (3, 0.35, "Down"), (4, 0.55, "Down"))])
+    od = t.filter(F.col("role") == "maker").select("condition", "seq", "ts", "resolved_up", F.inline(grid)).select(
+        "condition", "bid", (F.col("seq") * 10 + F.col("k")).alias("order_id"), F.col("ts").alias("t_place"), (F.col("ts") + SPAN).alias("t_cancel"), "level",
+        F.lit(20.0).alias("q_ahead"), F.lit(5.0).alias("size"), (F.col("resolved_up") == (F.col("bid") == "Up")).alias("won"))
     return od, tk
 
 
 def fills(spark, d):
     od, tk = order_inputs(spark, d)
-    return orders.resting_fills(od, tk.drop("ap"), ["condition"], delay=3600, width=SPAN)
+    return orders.resting_fills(od, tk, ["condition", "bid"], delay=3600, lookback=BACK)
 
 
 O = v.with_(v.TAPE_SQL, ORD_SQL)
 
 
-@q("L05_resting_fills", O + "SELECT order_id, t_fill, reason, t_fill IS NOT NULL AS executed FROM fills")
+@q("L05_resting_fills", O + f"SELECT order_id, t_fill, reason, {R('consumed')}, t_fill IS NOT NULL AS executed FROM fills")
 def _(spark, d):
-    return fills(spark, d).select("order_id", "t_fill", "reason", "executed")
+    return v.r6(fills(spark, d), "order_id", "t_fill", "reason", "executed", consumed=None)
 
 
-@q("L06_crossing", O + ", hit AS (SELECT od.order_id, bool_or(tk.ap <= od.level + 1e-9) AS crossing FROM od JOIN tk ON tk.condition = od.condition AND tk.ap IS NOT NULL AND tk.t >= od.t_place - 2592000 AND tk.t < od.t_place GROUP BY 1) SELECT od.order_id, coalesce(hit.crossing, false) AS crossing FROM od LEFT JOIN hit USING (order_id)")
+@q("L06_crossing", O + "SELECT order_id, crossing FROM od")
 def _(spark, d):
     od, tk = order_inputs(spark, d)
-    return orders.crossing(od, tk.drop("cp"), ["condition"], lookback=2592000).select("order_id", "crossing")
+    return orders.crossing(od, tk, ["condition", "bid"], delay=3600, lookback=BACK).select("order_id", "crossing")
 
 
 @q("L10_cancel_expansion", O + "SELECT order_id, c.c AS cancel, coalesce(t_fill < t_place + c.c + 3600, false) AS executed FROM fills, (SELECT unnest([86400.0::DOUBLE, 2592000.0::DOUBLE]) AS c) c")
@@ -130,9 +137,9 @@ def _(spark, d):
     return v.r6(orders.order_summary(scored(spark, d), ["level"]), "n_placed", level=None, fill_rate=None, share_traversal=None, delay_p50=None, pnl_per_placed=None, pnl_per_executed=None)
 
 
-@q("D25_pair_summary", SCORED + "SELECT count(*) AS n_pairs, count(*) FILTER (k = 2) AS both, count(*) FILTER (k = 1) AS one, count(*) FILTER (k = 0) AS none FROM (SELECT order_id // 10 AS p, sum(executed::INT) AS k FROM scored GROUP BY 1 HAVING count(*) = 2)")
+@q("D25_pair_summary", SCORED + "SELECT count(*) AS n_pairs, count(*) FILTER (k = 2) AS both, count(*) FILTER (k = 1) AS one, count(*) FILTER (k = 0) AS none FROM (SELECT sum(executed::INT) AS k FROM scored GROUP BY order_id // 10, level HAVING count(*) = 2)")
 def _(spark, d):
-    return orders.pair_summary(scored(spark, d).withColumn("p", F.floor(F.col("order_id") / 10)), ["p"])
+    return orders.pair_summary(scored(spark, d).withColumn("p", F.floor(F.col("order_id") / 10)), ["p", "level"])
 
 
 # -- rules on predictions --------------------------------------------------------------------------------------------------------

@@ -110,7 +110,7 @@ def tape(spark: SparkSession, d: str) -> DataFrame:
         (F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
          + (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 86400).alias("ts"),
         F.col("l_orderkey").alias("tx"),
-        ((F.col("l_partkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_suppkey")).alias("seq"))
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).alias("seq"))
 
 
 def tape_markets(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +127,7 @@ TAPE_SQL = """tape AS (
          CASE WHEN l_returnflag <> 'N' THEN 'taker' ELSE 'maker' END AS role,
          least(0.99, greatest(0.01, round(l_extendedprice / 105000, 2))) AS price, l_quantity AS size,
          epoch(l_shipdate)::BIGINT + (l_orderkey * 7919 + l_linenumber * 104729) % 86400 AS ts, l_orderkey AS tx,
-         (l_partkey * 8 + l_linenumber) * 100000 + l_suppkey AS seq
+         ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS seq
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 markets AS (
   SELECT p_partkey AS condition, p_brand AS asset, CASE WHEN p_size % 2 = 0 THEN '5m' ELSE '15m' END AS duration,

@@ -10,38 +10,66 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tapeloom.functions.prob import taker_fee
 from tapeloom.operators.asof import asof_join
-from tapeloom.operators.intervals import interval_join, islands
+from tapeloom.operators.intervals import islands
+from tapeloom.operators.ranks import materialise
 
 EPS = 1e-9
 
 
-def resting_fills(orders: DataFrame, trades: DataFrame, keys: Sequence[str], *, delay: float, width: float) -> DataFrame:
+def running_volume(rows: DataFrame, keys: Sequence[str], *, bucket_s: float = 86400.0) -> DataFrame:
+    """Add ``vol``: the size so far per key in order of (t, seq), by running sums inside time buckets and their offsets."""
+    keys = list(keys)
+    cut = rows.withColumn("_b", F.floor(F.col("t") / F.lit(bucket_s)))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(*keys, "_b").agg(F.sum("size").alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_o"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("vol", F.sum("size").over(inside)).join(offsets, [*keys, "_b"]).withColumn("vol", F.col("vol") + F.col("_o")).drop("_b", "_o")
+
+
+def resting_fills(orders: DataFrame, trades: DataFrame, keys: Sequence[str], *, delay: float, lookback: float | None = None) -> DataFrame:
     """First moment a resting bid trades: a trade below its level, or enough volume at or below it to clear the queue.
 
-    ``orders``: order_id, level, t_place, t_cancel, q_ahead, size.  ``trades``: t, seq, cp (price a fill clears to), size.
-    An order sees trades in [t_place + delay, t_cancel + delay).
+    ``orders``: order_id, level, t_place, t_cancel, q_ahead, size.  ``trades``: t, seq, cp (price a fill clears to), ap (ask
+    it reveals), size.  An order sees trades in [t_place + delay, t_cancel + delay).  With ``lookback`` an order that would
+    trade at once (``crossing``) is not placed and has no fill.  ``consumed`` is the volume that took its level until the
+    fill, or until its end.
+
+    No order meets all trades of its life: trades are summed per level of the market's grid, and each question (volume
+    before, first trade beyond, first trade that clears the queue, volume at the end) is one as-of join.
     """
-    keys = list(keys)
-    o = orders.withColumn("_a", F.col("t_place") + delay).withColumn("_z", F.col("t_cancel") + delay).withColumnRenamed("size", "_need")
-    live = interval_join(trades.filter(F.col("cp").isNotNull()), o, keys, "t", "_a", "_z", width=width, closed="left")
-    w = Window.partitionBy("order_id").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    eats = F.col("cp") <= F.col("level") + EPS
-    rows = live.withColumn("_cum", F.sum(F.when(eats, F.col("size")).otherwise(0.0)).over(w))
-    beyond, queue = F.col("cp") < F.col("level") - EPS, F.col("_cum") >= F.col("q_ahead") + F.col("_need") - EPS
-    at = F.struct("t", "seq")
-    fills = rows.groupBy("order_id").agg(
-        F.min(F.when(beyond, at)).alias("_b"), F.min(F.when(queue, at)).alias("_q"), F.max("_cum").alias("consumed_all"))
+    on = [*keys, "level"]
+    levels = orders.select(*on).distinct()
+    eaten = trades.filter(F.col("cp").isNotNull() & (F.col("size") > 0)).join(levels, list(keys)).filter(F.col("cp") <= F.col("level") + EPS)
+    volume = running_volume(eaten.select(*on, "t", "seq", "cp", F.col("size").cast("double").alias("size")), on)
+    o = orders if lookback is None else crossing(orders, trades, keys, delay=delay, lookback=lookback)
+    live = F.col("t_cancel") > F.col("t_place")
+    if lookback is not None:
+        live = live & ~F.col("crossing")
+    asked = o.filter(live).select("order_id", *on, (F.col("t_place") + delay).cast("double").alias("_a"), (F.col("t_cancel") + delay).cast("double").alias("_z"), (F.col("q_ahead") + F.col("size")).cast("double").alias("_need"))
+    hit = volume.select(*on, "t", "seq", "vol", F.struct("t", "seq", "vol").alias("_hit"), (F.col("cp") < F.col("level") - EPS).alias("_beyond"))
+    hit = materialise(hit)  # each as-of join reads its sides more than once
+    start = asof_join(asked, hit, on, "_a", "t", ["vol"], tie="seq", strict=True).withColumn("_v0", F.coalesce("vol", F.lit(0.0))).drop("vol")
+    start = materialise(start.withColumn("_target", F.col("_v0") + F.greatest(F.col("_need") - EPS, F.lit(EPS))))
+    queued = asof_join(start, hit, on, F.col("_target"), "vol", ["_hit"], forward=True).select("order_id", F.col("_hit").alias("_q"))
+    beyond = asof_join(start, hit.filter("_beyond"), on, "_a", "t", ["_hit"], tie="seq", forward=True).select("order_id", F.col("_hit").alias("_b"))
+    ended = asof_join(start, hit, on, "_z", "t", ["vol"], tie="seq", strict=True).select("order_id", "_z", "_v0", "vol")
+    together = ended.join(queued, "order_id").join(beyond, "order_id")
+    q, b = (F.when(F.col(f"{c}.t") < F.col("_z"), F.col(c)) for c in ("_q", "_b"))
+    found = together.select("order_id", q.alias("_q"), b.alias("_b"), "_v0", "vol")
+    first = F.least("_b", "_q")
     reason = F.when(F.col("_b").isNotNull() & (F.col("_q").isNull() | (F.col("_b") <= F.col("_q"))), "traversal").when(F.col("_q").isNotNull(), "queue")
-    fills = fills.select("order_id", F.least("_b", "_q").getField("t").alias("t_fill"), reason.alias("reason"), "consumed_all")
-    return orders.join(fills, "order_id", "left").withColumn("executed", F.col("t_fill").isNotNull())
-
-
-def crossing(orders: DataFrame, trades: DataFrame, keys: Sequence[str], *, lookback: float) -> DataFrame:
-    """Orders that would trade at once: a trade of the lookback before them reveals an ask at or below their level."""
-    o = orders.withColumn("_a", F.col("t_place") - lookback)
-    seen = interval_join(trades.filter(F.col("ap").isNotNull()).drop("size"), o, keys, "t", "_a", "t_place", width=lookback, closed="left")
-    hit = seen.groupBy("order_id").agg(F.max((F.col("ap") <= F.col("level") + EPS)).alias("crossing"))
-    return orders.join(hit, "order_id", "left").withColumn("crossing", F.coalesce("crossing", F.lit(False)))
+    fills = found.select("order_id", first.getField("t").alias("t_fill"), reason.alias("reason"),
+                         (F.coalesce(first.getField("vol"), F.greatest("vol", F.col("_v0"))) - F.col("_v0")).alias("consumed"))
+    return o.join(fills, "order_id", "left").withColumn("executed", F.col("t_fill").isNotNull())
+
+
+def crossing(orders: DataFrame, trades: DataFrame, keys: Sequence[str], *, delay: float, lookback: float) -> DataFrame:
+    """Orders that would trade at once: a trade of the lookback before they rest reveals an ask at or below their level."""
+    on = [*keys, "level"]
+    asks = trades.filter(F.col("ap").isNotNull()).join(orders.select(*on).distinct(), list(keys)).filter(F.col("ap") <= F.col("level") + EPS)
+    at = orders.withColumn("_a", (F.col("t_place") + delay).cast("double"))
+    seen = asof_join(at, asks.select(*on, "t", F.lit(True).alias("_seen")), on, "_a", "t", ["_seen"], strict=True, tolerance=lookback)
+    return seen.withColumn("crossing", F.coalesce("_seen", F.lit(False))).drop("_a", "_seen")
 
 
 def expand_cancels(orders: DataFrame, cancels: Sequence[float], delay: float) -> DataFrame:
