@@ -14,7 +14,6 @@ need no padding, where this costs less than to pad it.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import cache
 
@@ -72,21 +71,23 @@ def rest_lengths(rest: int, seq_len: int) -> list[int]:
 def best_cuts(at: np.ndarray, price: np.ndarray, seq_len: int, last: bool) -> list[int]:
     """Ends of the cheapest windows over positions ``at`` (gaps of at most ``seq_len``), first to last."""
     points, prices = at.tolist(), price.tolist()
-    best, back = [0] * len(points), [0] * len(points)
-    queue: deque[int] = deque()  # indexes of cuts with rising best + position
+    total, back = [0] * len(points), [0] * len(points)  # best + position of each cut
+    queue, head, tail = [0] * len(points), 0, 0  # cuts with rising totals
     for k in range(1, len(points)):
-        p, key = points[k], best[k - 1] + points[k - 1]
-        while queue and best[queue[-1]] + points[queue[-1]] >= key:
-            queue.pop()
-        queue.append(k - 1)
-        while points[queue[0]] < p - seq_len:
-            queue.popleft()
-        q = queue[0]
-        best[k], back[k] = best[q] + points[q] + seq_len - p + prices[k], q
+        key = total[k - 1]
+        while tail > head and total[queue[tail - 1]] >= key:
+            tail -= 1
+        queue[tail] = k - 1
+        tail += 1
+        reach = points[k] - seq_len
+        while points[queue[head]] < reach:
+            head += 1
+        back[k] = q = queue[head]
+        total[k] = total[q] + seq_len + prices[k]
     k = len(points) - 1
     if last and k:  # the last window may be cut into powers of two
         first = int(np.searchsorted(at, at[-1] - seq_len))
-        back[k] = min(range(first, k), key=lambda q: (best[q] + rest_cost(points[k] - points[q], seq_len), q))
+        back[k] = min(range(first, k), key=lambda q: (total[q] - points[q] + rest_cost(points[k] - points[q], seq_len), q))
     ends = []
     while k:
         ends.append(points[k])
