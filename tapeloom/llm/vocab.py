@@ -16,7 +16,7 @@ import numpy as np
 import regex
 
 #: Words and parts of words kept since a memo's last turn; those of the turn before are kept too.
-WORDS, PIECES = 500_000, 250_000
+WORDS, PIECES = 300_000, 150_000
 #: How the vocabulary cuts normalised text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for printable ASCII in lower case.
