@@ -5,15 +5,19 @@ nodes link if 100 * |A & B| >= ``PERCENT`` * |A | B|, so each shares at least ce
 shingles with the other. In any common order of all shingles, the first n - o + l of each must then share l (for
 every l up to o): a prefix that is l - 1 shingles longer asks for l matches.
 
-1. The order puts shingles found in many prefixes last. How many is counted over all documents, first with prefixes
-   in order of the hashes; the counts become a table of levels by cell of the hash, of fixed size, that every task
-   gets. A wrong level only costs time: every order gives the same links.
+1. The order puts shingles of many documents last. How many is estimated over all documents, from those shingles of
+   each that have the smallest hashes, a ``SHARE``-th of a prefix; the counts become a table of levels by cell of the
+   hash, of fixed size, that every task gets. A wrong level only costs time: every order gives the same links.
 2. Each node picks its own l: the sum of the estimated list lengths over the longer prefix, plus the cost of verifying
-   at most sum / l candidates, is to be least. A pair needs as many common prefix shingles as the smaller l of both.
-3. Prefix shingles of one node only are set aside. Each node is first verified against the node that leads most of
-   its lists; links give first components, and lists within one component need no pairs any more.
-4. In lists with several components, nodes outside the list's main component meet all nodes of other components; so
-   groups of copies do not make all pairs. Candidates are verified on their whole sets.
+   at most sum / l candidates, is to be least. Of two prefixes the one that ends first in the common order shares with
+   the other all that it shares with the other's set; so a pair needs at least
+   min(l_a - o_a, l_b - o_b) + ceil(PERCENT * (n_a + n_b) / (100 + PERCENT)) common prefix shingles, which is l or more.
+3. Prefix shingles of one node only are set aside. Each list is led by the node with the largest share of its prefix
+   in lists: the one that differs least from the others. Each node is first verified against its main leader; links
+   give first components, and lists within one component need no pairs any more.
+4. In lists with several components, nodes outside the list's main component meet all nodes of other components that
+   hold enough list entries for the pair; so groups of copies do not make all pairs. Candidates are verified on their
+   whole sets.
 
 The result is one row for each document, with the smallest id that links reach. Joins on a common shingle are split
 by adaptive execution. Null and empty texts have no shingles and link with nothing; fewer than ``SHINGLE`` words are
@@ -37,8 +41,8 @@ from tapeloom.llm.text import LOWER, Words, chunks, mixed, window_hashes, words
 SHINGLE, PERCENT = 4, 85
 #: Bits of a shingle's hash that name its cell in the table of levels.
 CELL_BITS = 22
-#: Prefixes that hold a shingle before it gets a level.
-COMMON = 4
+#: Part of a prefix that is counted, and documents that hold a shingle there before it gets a level.
+SHARE, COMMON = 3, 4
 #: The largest l, and what verifying a candidate costs in list entries.
 MOST_MATCHES, VERIFY = 6, 8
 
@@ -97,7 +101,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, row_key, n_shingles, node, and the prefix in order of the hashes."""
+    """doc_id, row_key, n_shingles, node, and the shingles to count: the first of a prefix in order of the hashes."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,16 +109,16 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 sets = shingle_sets(words(LOWER[data], at), size)
                 part = batch.slice(row, len(sets))
                 yield pa.record_batch(
-                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), _lists([s[: len(s) - needed(len(s), percent) + 1] if len(s) else s for s in sets])],
-                    names=["doc_id", "row_key", "n_shingles", "node", "prefix"],
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), _lists([s[: -(-(len(s) - needed(len(s), percent) + 1) // SHARE)] for s in sets])],
+                    names=["doc_id", "row_key", "n_shingles", "node", "counted"],
                 )
 
-    return docs.select("doc_id", "text", row_key()).mapInArrow(sketch, "doc_id long, row_key long, n_shingles long, node long, prefix array<long>")
+    return docs.select("doc_id", "text", row_key()).mapInArrow(sketch, "doc_id long, row_key long, n_shingles long, node long, counted array<long>")
 
 
 def learn_order(known: DataFrame) -> Order:
-    """Levels (base 2 logarithms) of the cells whose shingles many prefixes hold: at most 2 ** CELL_BITS small rows."""
-    shingle = known.select(F.explode("prefix").alias("s"))
+    """Levels (base 2 logarithms) of the cells whose shingles many documents hold: at most 2 ** CELL_BITS small rows."""
+    shingle = known.select(F.explode("counted").alias("s"))
     common = shingle.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     cell = F.shiftrightunsigned("s", 64 - CELL_BITS).cast("int").alias("cell")
     table = common.groupBy(cell).agg(F.max(F.floor(F.log2("n"))).cast("byte").alias("level")).orderBy("cell").toArrow()
@@ -170,6 +174,17 @@ def near_sizes(n: Column | str, m: Column | str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def need(n: str, percent: int) -> Column:
+    """``needed`` as a column."""
+    return F.floor((percent * F.col(n) + 99) / 100)
+
+
+def common_needed(n: str, m: str, other_n: str, other_m: str, percent: int) -> Column:
+    """Common prefix shingles of a linked pair, at least; from the sizes and matches of both."""
+    both = F.floor((percent * (F.col(n) + F.col(other_n)) + 99 + percent) / (100 + percent))
+    return F.greatest(F.lit(1), F.least(F.col(m) - need(n, percent), F.col(other_m) - need(other_n, percent)) + both)
+
+
 def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, row_key, n_shingles, node of each row; node and label of each node that has a link), both stored."""
     spark = prepare(docs.sparkSession)
@@ -181,32 +196,42 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col:
     entries = cut.select("node", "n", "matches", F.explode("prefix").alias("shingle"))
     shared = entries.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1").select("shingle")
     lists = stored(entries.join(shared, "shingle"), folder, "lists")
-    text_of = known.where("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key")).join(lists.select("node").distinct(), "node", "left_semi")
+    counts = lists.groupBy("node").agg(F.count("*").alias("k"))
+    lists = stored(lists.join(counts, "node"), folder, "counted-lists")
+    one_row = known.where("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key"))
     texts = rows.withColumn("row_key", row_key()).select("row_key", "text")
-    sets = stored(whole_sets(texts.join(text_of, "row_key"), size).groupBy("node").agg(F.first("shingles").alias("shingles")), folder, "sets")
+
+    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        # a repeated row brings its text more than once: one is enough
+        wanted = texts.join(one_row.join(nodes, "node"), "row_key").dropDuplicates(["row_key"])
+        return stored(whole_sets(wanted, size), folder, name)
 
     # first each node against the leader of most of its lists
-    leaders = lists.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("shingle", "node").alias("draw"), "node", "n")).alias("lead"))
-    led = lists.join(leaders, "shingle").where((F.col("node") != F.col("lead.node")) & near_sizes("n", "lead.n", percent))
-    votes = led.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("votes"))
+    share = (F.col("k") / (F.col("n") - need("n", percent) + F.col("matches"))).alias("share")
+    leaders = lists.groupBy("shingle").agg(F.max(F.struct(share, F.xxhash64("node").alias("draw"), "node", "n", "matches", "k")).alias("lead"))
+    enough = common_needed("n", "matches", "lead.n", "lead.matches", percent)
+    led = lists.join(leaders, "shingle").where((F.col("node") != F.col("lead.node")) & near_sizes("n", "lead.n", percent) & (F.least("k", "lead.k") >= enough))
+    votes = led.groupBy("node", F.col("lead.node").alias("lead"), enough.alias("enough")).agg(F.count("*").alias("votes")).where("2 * votes >= enough")
     best = votes.groupBy("node").agg(F.max(F.struct("votes", "lead")).alias("best"))
-    first = best.select(F.least("node", "best.lead").alias("a"), F.greatest("node", "best.lead").alias("b")).distinct()
-    links = stored(verified(first, sets, percent), folder, "first-links")
+    first = stored(best.select(F.least("node", "best.lead").alias("a"), F.greatest("node", "best.lead").alias("b")).distinct(), folder, "first-pairs")
+    links = stored(verified(first, sets_of(first, "first-sets"), percent), folder, "first-links")
     labels = components(links, folder, "first")
 
     # then pairs between components
-    held = lists.join(labels, "node", "left").select("shingle", "node", "n", "matches", F.coalesce("label", "node").alias("label"))
+    held = lists.join(labels, "node", "left").select("shingle", "node", "n", "matches", "k", F.coalesce("label", "node").alias("label"))
     held = stored(held, folder, "held")
     main = held.groupBy("shingle", "label").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"))
     mixed_lists = main.where("labels > 1").select("shingle", F.col("top.label").alias("main"))
     open_lists = stored(held.join(mixed_lists, "shingle"), folder, "open")
     x, y = open_lists.where("label <> main").alias("x"), open_lists.alias("y")
     once = (F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & once & near_sizes("x.n", "y.n", percent))
-    pair = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.matches", "y.matches").alias("least"))
-    candidates = stored(pair.groupBy("a", "b").agg(F.count("*").alias("same"), F.min("least").alias("least")).where("same >= least").select("a", "b"), folder, "candidates")
-    more = stored(verified(candidates, sets, percent), folder, "more-links")
-    return known.drop("prefix"), components(links.union(more), folder, "all")
+    enough = common_needed("x.n", "x.matches", "y.n", "y.matches", percent)
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & once & near_sizes("x.n", "y.n", percent) & (F.least("x.k", "y.k") >= enough))
+    pair = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), enough.alias("enough"))
+    candidates = stored(pair.groupBy("a", "b", "enough").agg(F.count("*").alias("same")).where("same >= enough").select("a", "b"), folder, "candidates")
+    more = stored(verified(candidates, sets_of(candidates, "more-sets"), percent), folder, "more-links")
+    return known.drop("counted"), components(links.union(more), folder, "all")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
