@@ -202,7 +202,7 @@ def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col: str = "
     placed = single.select("row_key", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("row_key", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
     again = placed.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "place")).alias("lead")).where("n > 1")
     kind = F.when(F.struct("row_key", "place") == F.col("lead"), LEADER).when(F.col("n") == 2, OTHER).otherwise(CROWD).cast("byte").alias("kind")
-    seeds = placed.join(again, "anchor").groupBy("row_key").agg(F.collect_list(F.struct("place", kind)).alias("seeds"))
+    seeds = stored(placed.join(again, "anchor").groupBy("row_key").agg(F.collect_list(F.struct("place", kind)).alias("seeds")), folder, "seeds")
     texts = rows.withColumn("row_key", row_key()).select("row_key", "text")
     # a repeated row brings its text more than once; all its words go anyway
     around = stored(contexts(texts.join(seeds, "row_key"), size, seed), folder, "contexts")
