@@ -12,8 +12,10 @@ the smallest hash (all of them, on ties) is taken, so equal runs hold equal anch
    while the words agree. What agrees over ``size`` words or more is a maximal repeat with the leader, and both ends'
    words are marked;
 4. runs in which an occurrence does not agree with its leader can only agree with those of a third one: equality of
-   runs is transitive, and equal runs hold the same first seed at the same place. Where a seed has three occurrences
-   or more, the hashes of such runs are counted, each at its first seed, and those that meet again are marked too.
+   runs is transitive. Equal runs hold the same smallest gram (the leftmost on ties) at the same place, which is an
+   anchor of each of them whatever words stand around; other anchors inside a run depend on the words before and after
+   it. Where a seed has three occurrences or more, the hashes of the runs that do not agree with the leader there and
+   have their smallest gram there are counted, and those that meet again are marked too.
 
 A passage in a third of all documents thus costs one row for each of its anchors and documents, never a pair of
 documents, and sums by hash are taken before rows are shuffled. Joins on a common seed are split by adaptive
@@ -95,8 +97,8 @@ def sketches(docs: DataFrame, size: int, seed: int) -> DataFrame:
 def contexts(docs: DataFrame, size: int, seed: int) -> DataFrame:
     """One row for each seed of a document: the words on both sides as far as a run that holds the seed can reach.
 
-    ``docs`` has row_key, text and seeds (place, kind). ``gap`` tells how many words lie between this seed's first
-    word and that of the seed before it, if a run can hold both.
+    ``docs`` has row_key, text and seeds (place, kind). The runs whose smallest gram (the leftmost on ties) is this
+    seed start ``fewest`` to ``most`` words before it; there are none if ``most`` is less than ``fewest``.
     """
     reach = size - seed
 
@@ -112,8 +114,6 @@ def contexts(docs: DataFrame, size: int, seed: int) -> DataFrame:
                 place, kind = (entries.field(k).to_numpy() for k in (0, 1))
                 order = np.lexsort((place, doc))
                 doc, place, kind = doc[order], place[order].astype(np.int64), kind[order]
-                before = np.full(len(place), -(1 << 30))
-                before[1:] = np.where(doc[1:] == doc[:-1], place[:-1], before[1:])
                 left = np.minimum(place, reach)
                 right = np.minimum(w.counts[doc] - place, size)
                 start, length = w.first[doc] + place - left, left + right
@@ -124,13 +124,27 @@ def contexts(docs: DataFrame, size: int, seed: int) -> DataFrame:
                 ends = pa.array(cuts.astype(np.int32))
                 whole = [pa.ListArray.from_arrays(ends, pa.array(low)), pa.BinaryArray.from_buffers(pa.binary(), len(place), [None, ends.buffers()[1], pa.py_buffer(high.tobytes())])]
                 grams = window_hashes(w.hash, seed)
-                anchor = np.maximum(grams[w.first[doc] + place], np.uint64(1)) if len(place) else np.zeros(0, np.uint64)
+                grams = np.maximum(grams, np.uint64(1))
+                at_seed = w.first[doc] + place
+                anchor = grams[at_seed] if len(place) else np.zeros(0, np.uint64)
+                most = _larger(grams, at_seed, -1, left, np.greater)
+                fewest = np.maximum(size - right, reach - _larger(grams, at_seed, 1, np.minimum(w.counts[doc] - place - seed, reach), np.greater_equal))
                 yield pa.record_batch(
-                    [pa.array(anchor.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(np.minimum(place - before, reach + 1).astype(np.int32)), pa.array(kind), *whole],
-                    names=["anchor", "row_key", "place", "left", "gap", "kind", "low", "high"],
+                    [pa.array(anchor.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(fewest.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(kind), *whole],
+                    names=["anchor", "row_key", "place", "left", "fewest", "most", "kind", "low", "high"],
                 )
 
-    return docs.select("row_key", "text", "seeds").mapInArrow(around, "anchor long, row_key long, place int, left int, gap int, kind byte, low array<int>, high binary")
+    return docs.select("row_key", "text", "seeds").mapInArrow(around, "anchor long, row_key long, place int, left int, fewest int, most int, kind byte, low array<int>, high binary")
+
+
+def _larger(grams: np.ndarray, at: np.ndarray, step: int, limit: np.ndarray, larger) -> np.ndarray:
+    """How many grams in a row before (step -1) or after (1) each place are ``larger`` than its own, up to ``limit``."""
+    reached, going = np.zeros(len(at), np.int64), np.arange(len(at))
+    for k in range(1, int(limit.max(initial=0)) + 1):
+        going = going[limit[going] >= k]
+        going = going[larger(grams[at[going] + step * k], grams[at[going]])]
+        reached[going] += 1
+    return reached
 
 
 def _words(low: pa.ListArray, high: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +154,9 @@ def _words(low: pa.ListArray, high: pa.BinaryArray) -> tuple[np.ndarray, np.ndar
     return values, np.concatenate([[0], np.cumsum(np.diff(low.offsets.to_numpy()))])
 
 
-def extended(pairs: DataFrame, size: int, seed: int) -> DataFrame:
+def extended(pairs: DataFrame, size: int) -> DataFrame:
     """Each occurrence against its leader: ``mine`` and ``its`` are the places (start, end) of the repeat in both, or
-    null; ``open`` are the starts and hashes of the runs at this seed that do not agree."""
+    null; ``open`` are the starts and hashes of the runs with this seed as smallest gram that do not agree."""
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     rest = pa.struct([("start", pa.int32()), ("run", pa.int64())])
 
@@ -151,7 +165,7 @@ def extended(pairs: DataFrame, size: int, seed: int) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            cols = {k: batch.column(k).to_numpy() for k in ("place", "left", "gap", "lead_place", "lead_left")}
+            cols = {k: batch.column(k).to_numpy() for k in ("place", "left", "fewest", "most", "lead_place", "lead_left")}
             (a, a_off), (b, b_off) = (_words(batch.column(f"{side}low"), batch.column(f"{side}high")) for side in ("", "lead_"))
             left, lead_left = cols["left"].astype(np.int64), cols["lead_left"].astype(np.int64)
             right, lead_right = np.diff(a_off) - left, np.diff(b_off) - lead_left
@@ -170,11 +184,9 @@ def extended(pairs: DataFrame, size: int, seed: int) -> DataFrame:
                 pa.StructArray.from_arrays([pa.array((p - back).astype(np.int32)), pa.array((p + ahead).astype(np.int32))], fields=list(span), mask=pa.array(~found))
                 for p in (place, lead_place)
             ]
-            # runs that hold this seed and none before it: they start 0 to gap - 1 words before it
             runs = window_hashes(a, size)
-            reach = np.minimum(np.minimum(left, cols["gap"].astype(np.int64) - 1), size - seed)
-            fewest = np.maximum(0, size - right)
-            count = np.where(batch.column("kind").to_numpy() == CROWD, np.maximum(0, reach - fewest + 1), 0)
+            fewest = cols["fewest"].astype(np.int64)
+            count = np.where(batch.column("kind").to_numpy() == CROWD, np.maximum(0, cols["most"] - fewest + 1), 0)
             owner = np.repeat(np.arange(n), count)
             off = np.repeat(fewest, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             agree = found[owner] & (off <= back[owner]) & (size - off <= ahead[owner])
@@ -207,7 +219,7 @@ def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col: str = "
     # a repeated row brings its text more than once; all its words go anyway
     around = stored(contexts(texts.join(seeds, "row_key"), size, seed), folder, "contexts")
     lead = around.where(F.col("kind") == LEADER).select("anchor", F.col("row_key").alias("lead_key"), F.col("place").alias("lead_place"), F.col("left").alias("lead_left"), F.col("low").alias("lead_low"), F.col("high").alias("lead_high"))
-    met = stored(extended(around.where(F.col("kind") != LEADER).join(lead, "anchor"), size, seed), folder, "extended")
+    met = stored(extended(around.where(F.col("kind") != LEADER).join(lead, "anchor"), size), folder, "extended")
     both = met.where("mine is not null").select("row_key", "mine").union(met.where("mine is not null").select("lead_key", "its")).select("row_key", F.col("mine.start").alias("start"), F.col("mine.end").alias("end"))
     return known, stored(_gathered(both.union(_rest(met, size))), folder, "spans")
 

@@ -48,6 +48,24 @@ def test_substrings_of_few_words(spark):
     same([(r.doc_id, r.n_words, r.n_removed, sha(r.text)) for r in got], list(brute_substrings(rows, 8)))
 
 
+def variants(draw, n, words):
+    """Near copies of one passage: each takes one of three words in some places, with its own words around."""
+    at = sorted(draw.sample(range(words), words // 25))
+    base = passage(70, words).split()
+    for k in range(n):
+        own = list(base)
+        for p in at:
+            own[p] = draw.choice((base[p], "x", "y"))
+        cut = draw.randrange(words // 2)
+        yield k, " ".join([passage(900 + k, draw.randint(0, 20)), *own[cut : cut + draw.randint(40, words)], passage(990 + k, draw.randint(0, 20))])
+
+
+def test_substrings_of_near_copies(spark):
+    rows = list(variants(random.Random(2), 60, 300))
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same([(r.doc_id, r.n_words, r.n_removed, sha(r.text)) for r in got], list(brute_substrings(rows, 35)))
+
+
 def test_anchors_are_in_every_run():
     draw = np.random.default_rng(1)
     words = draw.integers(0, 3, 400).astype(np.uint64)
