@@ -235,13 +235,17 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id: the smallest id that a document's links reach, its own included."""
+    """doc_id, row_key, n_shingles, label: the component, as its smallest node (null without shingles), and
+    component_id: the smallest id that a document's links reach, its own included.
+
+    Only the label tells components apart: ids may be null, or the same in several components.
+    """
     known, labels = linked(docs, size, percent, id_col, text_col)
     nodes = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("smallest"))
     named = nodes.join(labels, "node", "left").select("node", "smallest", F.coalesce("label", "node").alias("label"))
     whole = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    of_node = named.join(whole, "label").select("node", "component_id")
-    return known.join(of_node, "node", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_node = named.join(whole, "label").select("node", "label", "component_id")
+    return known.join(of_node, "node", "left").select("doc_id", "row_key", "n_shingles", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def join_digest(docs: DataFrame) -> DataFrame:

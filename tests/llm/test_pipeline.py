@@ -56,6 +56,15 @@ def test_stages(spark, hard, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r[0] for r in kept}
 
 
+def test_near_duplicates_of_null_and_equal_ids(spark):
+    """Unlinked documents stay, whatever their ids; of linked ones the smallest id stays, or one of the null ids."""
+    alone = [(None, passage(300 + k, 60)) for k in range(5)] + [(7, passage(310, 60)), (7, passage(311, 60))]
+    twice = [(8, passage(312, 60)), (None, passage(312, 60)), (None, passage(313, 60)), (None, passage(313, 60).upper())]
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(alone + twice, "doc_id long, text string"), "").collect()]
+    assert len(got) == len(set(got)) == 9
+    assert {*alone, twice[0]} < set(got) and len({*twice[2:]} & set(got)) == 1
+
+
 def test_run_and_entry(spark):
     import __spark_entry__ as entry
 
