@@ -212,6 +212,25 @@ def test_language_identification(spark, hard):
     assert {r.doc_id: r.lang_pred for r in langid.language_digest(blind).collect()} == {k: r.lang_pred for k, r in got.items()}
 
 
+def test_common_words_of_short_documents(spark):
+    """From 40 to 119 words the common words decide too, within a limit that widens as the text gets shorter."""
+    draw = random.Random(6)
+    prose = "the house of a man is not for this and that but it was on from".split()
+    text = lambda k, n, share: " ".join(draw.choice(prose) if draw.random() < share else passage(k * 1000 + j, 1) for j in range(n))
+    rows = [(k, text(k, 200, 0.35), "en") for k in range(40)]
+    rows += [(100 + k, " | ".join(passage(500 + k, 40 + 8 * k).split()), None) for k in range(5)]
+    rows += [(200 + k, passage(600 + k, 60 + 6 * k), None) for k in range(10)]
+    rows += [(300 + k, text(300 + k, 64 + 8 * (k % 7), 0.05 + k / 200), None) for k in range(60)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(not r.kept for k, r in got.items() if 100 <= k < 300)
+    wide = 0
+    for k, r in got.items():
+        limit = 0.28 + 0.04 * max(0, 120 - r.n_words) / 80
+        assert r.n_chars >= 200 and r.kept == (r.char_en <= 0.30 and r.word_en <= limit), k
+        wide += r.kept and r.word_en > 0.28
+    assert wide > 0
+
+
 def test_empty_tables(spark, none):
     items = spark.createDataFrame([], "item_id long, text string")
     assert shards.shard_digest(none).count() == quality.judge(none).count() == langid.language_digest(none).count() == 0
