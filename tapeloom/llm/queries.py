@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import decontam, htmlcrf, langid, linededup, ngramjoin, packing, quality, shards, substring, tokenfiles
+from tapeloom.llm import bytebpe, decontam, htmlcrf, langid, linededup, ngramjoin, packing, quality, shards, substring, tokenfiles
 from tapeloom.llm.tables import read
 
 
@@ -48,7 +48,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sharding, op4_quality_rules, op5_decontamination, op6_language_id, op7_html_extraction, op8_line_dedup, op9_ngram_join, op10_token_files)}
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.bpe_digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sharding, op4_quality_rules, op5_decontamination, op6_language_id, op7_html_extraction, op8_line_dedup, op9_ngram_join, op10_token_files, op12_byte_bpe)}
 
 SQL: dict[str, str] = {}
 

@@ -54,7 +54,7 @@ def chunks(column: pa.Array, size: int = CHUNK, rows: int = 1 << 30) -> Iterator
         row = end
 
 
-class _Powers:
+class Powers:
     """base ** i and base ** -i modulo 2 ** 64, as far as asked for."""
 
     def __init__(self, base: int) -> None:
@@ -71,7 +71,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = _Powers(BYTE_BASE), _Powers(WORD_BASE)
+_BYTES, _WORDS = Powers(BYTE_BASE), Powers(WORD_BASE)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

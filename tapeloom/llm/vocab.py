@@ -26,14 +26,14 @@ _LATIN = regex.compile(_SPLIT)
 _PLAIN = re.compile(r"[\x20-\x7e\xa1-\u012f\u0131-\u017f]+")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: printable ones for themselves."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in plain]
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = byte_letters()
 
 
 def can_split(spec: dict) -> bool:
