@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import bytebpe, decontam, htmlcrf, langid, linededup, ngramjoin, packing, quality, shards, substring, tokenfiles
+from tapeloom.llm import bytebpe, decontam, divergence, htmlcrf, langid, linededup, ngramjoin, packing, quality, shards, substring, tokenfiles
 from tapeloom.llm.tables import read
 
 
@@ -52,7 +52,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.bpe_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sharding, op4_quality_rules, op5_decontamination, op6_language_id, op7_html_extraction, op8_line_dedup, op9_ngram_join, op10_token_files, op12_byte_bpe)}
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sharding, op4_quality_rules, op5_decontamination, op6_language_id, op7_html_extraction, op8_line_dedup, op9_ngram_join, op10_token_files, op12_byte_bpe, op13_divergence_audit)}
 
 SQL: dict[str, str] = {}
 
@@ -113,3 +117,30 @@ marked AS (SELECT k.*, f.last_doc IS NOT NULL AND k.doc_id <> f.last_doc AS gone
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+SQL["op13_divergence_audit"] = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+t AS (SELECT lang, source, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n_all FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (
+  SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)::HUGEINT) // (gn.n_all + v.v)::HUGEINT AS p
+  FROM gn JOIN kept k ON gn.lang = k.lang JOIN v ON v.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+ln AS (SELECT lang, sum(n) AS n_all FROM c GROUP BY lang),
+lp AS (
+  SELECT c.lang, c.term, 1 + (1000000000::HUGEINT * (sum(c.n) + 1)::HUGEINT) // (any_value(ln.n_all) + any_value(v.v))::HUGEINT AS q
+  FROM c JOIN ln ON ln.lang = c.lang JOIN v ON v.lang = c.lang GROUP BY c.lang, c.term),
+costs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+listed AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(k.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN costs k ON k.lang = a.lang AND k.source = a.source AND k.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, CAST(((p.p - lp.q) * (p.p - lp.q)) // lp.q AS BIGINT)
+  FROM p JOIN lp ON p.lang = lp.lang AND p.term = lp.term WHERE p.n > 0 AND p.p > lp.q)
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM listed) WHERE part = 'pair' OR rank <= 200"""
