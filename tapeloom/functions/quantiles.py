@@ -15,40 +15,28 @@ def sigma_from_quantiles(q: Column) -> Column:
 
 
 def probability_above(q: Column, threshold: Column, levels: Sequence[float] = DECILES) -> Column:
-    """1 - F(threshold) for the piecewise-linear distribution through the quantiles, with linear tails.
+    """Probability of more than ``threshold`` under the distribution that is even between neighbouring quantiles.
 
-    Equal knots count one half; the result is kept in [0.01, 0.99].
+    The outermost slopes go on to the probabilities 0 and 1. Each stretch between two knots adds the part of its mass
+    that lies below the threshold; a stretch without width adds half of its mass when it lies on the threshold. The
+    result is kept in [0.01, 0.99]; NULL when a quantile or the threshold is missing.
     """
-    s, k = F.array_sort(q), len(levels)
-    at = lambda i: F.element_at(s, i)
-    low = at(1) - (at(2) - at(1)) / (levels[1] - levels[0]) * levels[0]
-    high = at(k) + (at(k) - at(k - 1)) / (levels[-1] - levels[-2]) * (1 - levels[-1])
-    knots = F.concat(F.array(low), s, F.array(high))
-    probs = F.array(*[F.lit(p) for p in (0.0, *levels, 1.0)])
-
-    def cdf(pair: Column, strict: bool) -> Column:
-        x = pair["x"]
-        n = F.size(F.filter(x, lambda e: (e < pair["t"]) if strict else (e <= pair["t"])))
-        j = F.least(F.greatest(n, F.lit(1)), F.lit(k + 1))
-        x0, x1, p0, p1 = F.element_at(x, j), F.element_at(x, j + 1), F.element_at(probs, j), F.element_at(probs, j + 1)
-        share = F.when(x1 > x0, (pair["t"] - x0) / (x1 - x0)).otherwise(1.0)
-        return F.when(n <= 0, 0.0).when(n >= k + 2, 1.0).otherwise(p0 + (p1 - p0) * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
-
-    one = F.array(F.struct(knots.alias("x"), threshold.cast("double").alias("t")))
-    value = F.element_at(F.transform(one, lambda p: 1 - 0.5 * (cdf(p, True) + cdf(p, False))), 1)
-    known = q.isNotNull() & threshold.isNotNull() & (F.size(F.filter(q, lambda e: e.isNull() | F.isnan(e))) == 0)
-    return F.when(known, F.least(F.greatest(value, F.lit(0.01)), F.lit(0.99)))
-
-
-def standardise(context: Column, bound: float = 10.0) -> Column:
-    """Context window as z-scores kept inside a bound."""
-    n = F.size(context).cast("double")
-    mean = F.aggregate(context, F.lit(0.0), lambda a, x: a + x) / n
-    one = F.array(F.struct(context.alias("c"), mean.alias("m")))
-
-    def z(p: Column) -> Column:
-        sd = F.sqrt(F.aggregate(p["c"], F.lit(0.0), lambda a, x: a + (x - p["m"]) * (x - p["m"])) / F.size(p["c"]))
-        return F.transform(F.array(F.struct(p["c"].alias("c"), p["m"].alias("m"), sd.alias("s"))), lambda r: F.transform(
-            r["c"], lambda x: F.least(F.greatest(F.coalesce(F.try_divide(x - r["m"], r["s"]), F.lit(0.0)), F.lit(-bound)), F.lit(bound))))[0]
-
-    return F.transform(one, z)[0]
+    n = len(levels)
+    gaps = [levels[0], *(b - a for a, b in zip(levels, levels[1:])), 1 - levels[-1]]
+    t = threshold.cast("double")
+
+    def below(x: Column) -> Column:
+        knot = [x[i] for i in range(n)]
+        first = knot[0] - gaps[0] * (knot[1] - knot[0]) / gaps[1]
+        last = knot[-1] + gaps[-1] * (knot[-1] - knot[-2]) / gaps[-2]
+        ends = [first, *knot, last]
+        total = F.lit(0.0)
+        for mass, left, right in zip(gaps, ends, ends[1:]):
+            atom = F.when(t > left, 1.0).when(t == left, 0.5).otherwise(0.0)
+            inside = F.least(F.greatest((t - left) / F.nullif(right - left, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+            total = total + mass * F.when(right > left, inside).otherwise(atom)
+        return total
+
+    up = 1 - F.transform(F.array(F.array_sort(q)), below)[0]
+    known = F.forall(q, lambda e: e.isNotNull() & ~F.isnan(e)) & t.isNotNull()
+    return F.when(known, F.least(F.greatest(up, F.lit(0.01)), F.lit(0.99)))
