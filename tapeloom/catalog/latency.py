@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tapeloom.catalog import views as v
 from tapeloom.catalog.registry import Query
 from tapeloom.functions.numeric import logistic
-from tapeloom.operators import passage, reactions, tiling
+from tapeloom.catalog.trading import BOOK_SQL, book_events
+from tapeloom.operators import attribution, ladder, passage, reactions, tiling
 
 R = v.rsql
 Q: dict[str, Query] = {}
@@ -95,4 +96,73 @@ def _(spark, d):
     return v.r6(out, "symbol", "censored_50", "censored_90", **dict.fromkeys(numbers))
 
 
+# -- books at any instant ---------------------------------------------------------------------------------------------------
+
+EV_SQL = BOOK_SQL[: BOOK_SQL.index("lv AS (")].rstrip().rstrip(",")
+SNAP_SQL = "sn AS (SELECT symbol, min(us) AS us FROM ev GROUP BY symbol, us // 3600000000)"
+#: The standing levels at instants of ``qs`` (symbol, query, us): the last size since the last snapshot.
+STAND_SQL = """qn AS (SELECT qs.*, (SELECT max(us) FROM sn WHERE sn.symbol = qs.symbol AND sn.us <= qs.us) AS since FROM qs),
+st AS (SELECT n.symbol, n.query, e.side, e.price, arg_max(e.size, e.us) AS size FROM qn n JOIN ev e ON e.symbol = n.symbol AND e.us >= n.since AND e.us <= n.us GROUP BY 1, 2, 3, 4 HAVING arg_max(e.size, e.us) > 0),
+top AS (SELECT n.symbol, n.query, n.us, max(s.price) FILTER (s.side = 'B') AS bid, arg_max(s.size, s.price) FILTER (s.side = 'B') AS bid_size, min(s.price) FILTER (s.side = 'S') AS ask, arg_min(s.size, s.price) FILTER (s.side = 'S') AS ask_size, count(s.price) AS n_levels
+  FROM qn n LEFT JOIN st s USING (symbol, query) GROUP BY 1, 2, 3)"""
+
+
+@q("ST06_ladder_grid", v.base(EV_SQL, SNAP_SQL, "qs AS (SELECT symbol, t::BIGINT AS query, (t + 1800) * 1000000 AS us FROM bars)", STAND_SQL) + f"""SELECT p.symbol, p.query, {R('any_value(bid)', 'bid')}, {R('any_value(bid_size)', 'bid_size')}, {R('any_value(ask)', 'ask')}, {R('any_value(ask_size)', 'ask_size')}, any_value(n_levels) AS n_levels,
+  {R("CASE WHEN any_value(bid + ask) IS NOT NULL THEN coalesce(sum(size) FILTER (side = 'B' AND price >= (bid + ask) / 2.0 - 10), 0) END", 'depth_bid')}, {R("CASE WHEN any_value(bid + ask) IS NOT NULL THEN coalesce(sum(size) FILTER (side = 'S' AND price <= (bid + ask) / 2.0 + 10), 0) END", 'depth_ask')},
+  {R("coalesce(sum(size) FILTER (side = 'B' AND price = 40), 0)", 'bid_at_40')} FROM top p LEFT JOIN st USING (symbol, query) GROUP BY 1, 2""")
+def _(spark, d):
+    grid = v.bars(spark, d).select("symbol", F.col("t").cast("long").alias("query"), (F.col("t") + 1800).cast("double").alias("tsec"), F.lit("B").alias("side"), F.lit(40.0).alias("price"))
+    out = ladder.book_states(book_events(spark, d), ["symbol"], "tsec", questions=grid)
+    out = out.withColumn("query", F.col("query").cast("long")).withColumn("bid_at_40", F.col("level_size"))
+    return v.r6(out, "symbol", "query", "n_levels", **dict.fromkeys(("bid", "bid_size", "ask", "ask_size", "depth_bid", "depth_ask", "bid_at_40")))
+
+
+def book_trades(spark, d):
+    """Takers of the book's levels: every tick takes the level of its price, one side or the other."""
+    e = book_events(spark, d)
+    return e.select("symbol", "seq", "tsec", F.when(F.col("seq") % 3 == 0, "bid").otherwise("ask").alias("consumes"), F.col("price").cast("double").alias("level"), (1 + F.col("user_id") % 10).cast("double").alias("size"))
+
+
+TRADE_SQL = "tr AS (SELECT symbol, seq, us, CASE WHEN seq % 3 = 0 THEN 'bid' ELSE 'ask' END AS consumes, price AS level, 1 + trader % 10 AS size FROM (SELECT e.*, t.trader FROM ev e JOIN ticks t USING (symbol, seq)))"
+
+
+@q("ST07_trades_with_book", v.base(EV_SQL, SNAP_SQL, TRADE_SQL, "qs AS (SELECT symbol, seq AS query, us - 600000000 AS us FROM tr)", STAND_SQL) + f"""SELECT t.symbol, t.seq, t.consumes, {R('p.bid', 'bid_pre')}, {R('p.ask', 'ask_pre')}, {R('coalesce(s.size, 0)', 'level_pre')}, {R("CASE WHEN consumes = 'ask' THEN ask_size ELSE bid_size END", 'best_pre')},
+  coalesce(CASE WHEN consumes = 'ask' THEN level > ask ELSE level < bid END, false) AS traverses, coalesce(t.size > CASE WHEN consumes = 'ask' THEN ask_size ELSE bid_size END, false) AS exceeds_depth
+FROM tr t JOIN top p ON p.symbol = t.symbol AND p.query = t.seq LEFT JOIN st s ON s.symbol = t.symbol AND s.query = t.seq AND s.price = t.level AND s.side = CASE WHEN consumes = 'ask' THEN 'S' ELSE 'B' END""")
+def _(spark, d):
+    out = attribution.trades_with_book(book_trades(spark, d), book_events(spark, d), ["symbol"], "tsec", before=600.0)
+    return v.r6(out, "symbol", "seq", "consumes", "traverses", "exceeds_depth", **dict.fromkeys(("bid_pre", "ask_pre", "level_pre", "best_pre")))
+
+
+#: The pool of a level's trades, row by row: an independent way to the same shares.
+POOL_SQL = """dc AS (SELECT symbol, seq, us, side, price, was - size AS amount, size AS rest FROM (SELECT *, lag(size) OVER (PARTITION BY symbol, us // 3600000000, side, price ORDER BY us) AS was FROM ev) WHERE was > size),
+mix AS (SELECT symbol, side, price, seq, us / 1000000.0 AS t, amount, 1 AS kind FROM dc UNION ALL SELECT symbol, CASE WHEN consumes = 'ask' THEN 'S' ELSE 'B' END, level, seq, us / 1000000.0 - 900, size, 0 FROM tr),
+cut AS (SELECT *, row_number() OVER w AS n, coalesce(t - lag(t) OVER w > 7200, true) AS fresh FROM mix WINDOW w AS (PARTITION BY symbol, side, price ORDER BY t, kind, seq)),
+pool AS (SELECT symbol, side, price, seq, kind, n, amount, CASE WHEN kind = 0 THEN amount ELSE 0 END::DOUBLE AS held, 0::DOUBLE AS taken FROM cut WHERE n = 1
+  UNION ALL SELECT c.symbol, c.side, c.price, c.seq, c.kind, c.n, c.amount,
+    CASE WHEN c.kind = 0 THEN CASE WHEN c.fresh THEN 0 ELSE p.held END + c.amount ELSE greatest(CASE WHEN c.fresh THEN 0 ELSE p.held END - c.amount, 0) END,
+    CASE WHEN c.kind = 1 THEN least(CASE WHEN c.fresh THEN 0 ELSE p.held END, c.amount) ELSE 0 END
+  FROM pool p JOIN cut c ON c.symbol = p.symbol AND c.side = p.side AND c.price = p.price AND c.n = p.n + 1)"""
+
+
+def explained(spark, d):
+    lower = attribution.level_decreases(book_events(spark, d), ["symbol"], "tsec")
+    takers = book_trades(spark, d).select("symbol", "seq", "tsec", F.when(F.col("consumes") == "ask", "S").otherwise("B").alias("side"), F.col("level").cast("long").alias("price"), "size")
+    return attribution.explain_decreases(lower, takers, ["symbol"], "tsec", lead=900.0, pause=7200.0), lower
+
+
+@q("L15_removal_cause", v.base(EV_SQL, TRADE_SQL, POOL_SQL) + f"SELECT d.symbol, d.side, d.price, d.seq, {R('taken')}, {R('p.amount - taken', 'cancelled')}, CASE WHEN taken > 0 THEN 'taker' ELSE 'maker' END AS removed_by FROM pool p JOIN dc d ON d.symbol = p.symbol AND d.side = p.side AND d.price = p.price AND d.seq = p.seq WHERE p.kind = 1 AND d.rest = 0")
+def _(spark, d):
+    found, lower = explained(spark, d)
+    return v.r6(attribution.removal_cause(found, lower, ["symbol"]), "symbol", "side", "price", "seq", "removed_by", taken=None, cancelled=None)
+
+
+@q("L15_level_shares", v.base(EV_SQL, TRADE_SQL, POOL_SQL) + f"SELECT symbol, side, price, {R('sum(amount) FILTER (kind = 1)', 'decreased')}, {R('sum(taken)', 'taken')}, {R('sum(amount) FILTER (kind = 0)', 'traded')} FROM pool GROUP BY 1, 2, 3")
+def _(spark, d):
+    found, _ = explained(spark, d)
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)))
+    g = found.groupBy("symbol", "side", "price").agg(of("decrease", "amount").alias("decreased"), F.coalesce(of("trade", "explained"), F.lit(0.0)).alias("taken"), of("trade", "amount").alias("traded"))
+    return v.r6(g, "symbol", "side", "price", decreased=None, taken=None, traded=None)
+
+
 QUERIES = Q

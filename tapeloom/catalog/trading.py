@@ -40,8 +40,7 @@ bbo AS (SELECT e.symbol, e.seq, e.us, max(l.price) FILTER (l.side = 'B') AS bid,
 
 
 def bbo(spark, d):
-    e = book.snapshot_segments(book_events(spark, d), ["symbol"], "tsec", "is_snapshot")
-    return book.best_levels(e, ["symbol"], "us")
+    return book.best_levels(book_events(spark, d), ["symbol"], "tsec")
 
 
 @q("ST05_book_replay", v.with_(BOOK_SQL) + f"SELECT symbol, seq, {R('bid')}, {R('bid_size')}, {R('ask')}, {R('ask_size')}, n_levels FROM bbo")

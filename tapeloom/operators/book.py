@@ -1,17 +1,16 @@
 """Order books rebuilt from snapshots and level changes.
 
-A snapshot replaces the whole book, so the events between two snapshots are independent of everything before.  The
-stream of a market is therefore cut at its snapshots; a group is one (market, snapshot segment), not one market.
+A snapshot replaces the whole book; ``snapshot_segments`` numbers the stretches between snapshots.  The book at any
+instant comes from ``ladder``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeloom.operators.ladder import book_states
 from tapeloom.operators.tiling import TILE, tile, tile_window, untile
 
 SCALE = 1000  # prices are integer thousandths
@@ -42,45 +41,10 @@ def snapshot_segments(events: DataFrame, keys: Sequence[str], order: str, snapsh
     return local.join(offsets, [*keys, "_tl"]).withColumn("segment", F.col("_off") + F.col("_in")).drop("_in", "_off", "_tl")
 
 
-def best_levels(events: DataFrame, keys: Sequence[str], order: str, pack: int = 256) -> DataFrame:
-    """Best bid and ask (price, size) after every event.  Needs columns segment, is_snapshot, side, price, size, seq.
-
-    ``pack`` consecutive segments share a group, since a snapshot clears the book wherever it stands.
-    """
-    keys = list(keys)
-    slim = events.select(*keys, F.floor(F.col("segment") / pack).alias("_pack"), order, "seq", "is_snapshot", "side", "price", "size")
-    fields = [f for f in slim.schema.fields if f.name in keys]
-    schema = T.StructType(fields + [T.StructField("seq", T.LongType())] + [
-        T.StructField(c, T.DoubleType()) for c in ("bid", "bid_size", "ask", "ask_size")] + [T.StructField("n_levels", T.LongType())])
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, "seq"])
-        bids: dict[int, float] = {}
-        asks: dict[int, float] = {}
-        out = np.full((len(pdf), 4), np.nan)
-        levels = np.zeros(len(pdf), dtype=np.int64)
-        for i, (snap, side, price, size) in enumerate(zip(pdf["is_snapshot"], pdf["side"], pdf["price"], pdf["size"])):
-            if snap:
-                bids.clear(), asks.clear()
-            target = bids if side == "B" else asks
-            if size > 0:
-                target[price] = size
-            else:
-                target.pop(price, None)
-            if bids:
-                b = max(bids)
-                out[i, 0], out[i, 1] = b, bids[b]
-            if asks:
-                a = min(asks)
-                out[i, 2], out[i, 3] = a, asks[a]
-            levels[i] = len(bids) + len(asks)
-        res = pdf[[*keys, "seq"]].copy()
-        res[["bid", "bid_size", "ask", "ask_size"]] = out
-        res["n_levels"] = levels
-        return res
-
-    book = slim.groupBy(*keys, "_pack").applyInPandas(replay, schema)
-    return book.select(*keys, "seq", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("bid", "bid_size", "ask", "ask_size")], "n_levels")
+def best_levels(events: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Best bid and ask (price, size) after every event, and how many levels stand.  Needs is_snapshot, side, price, size, seq."""
+    states = book_states(events, keys, time)
+    return states.select(*keys, F.col("query").cast("long").alias("seq"), "bid", "bid_size", "ask", "ask_size", "n_levels")
 
 
 def depth_walk(levels: DataFrame, group: Sequence[str], quantity: float, limit: float | None = None) -> DataFrame:
@@ -90,15 +54,3 @@ def depth_walk(levels: DataFrame, group: Sequence[str], quantity: float, limit:
     had = F.coalesce(F.sum("size").over(before), F.lit(0.0))
     take = rows.withColumn("_take", F.least(F.col("size"), F.greatest(F.lit(quantity) - had, F.lit(0.0))))
     return take.groupBy(*group).agg(F.sum("_take").alias("filled"), F.try_divide(F.sum(F.col("_take") * F.col("price")), F.sum("_take")).alias("vwap"))
-
-
-def bbo_control(book: DataFrame, said: DataFrame, keys: Sequence[str], lag_s: float) -> DataFrame:
-    """Share of reported best prices that the rebuilt book shows at the same moment or within the lag after it."""
-    from tapeloom.operators.intervals import interval_join
-
-    w = said.select(*keys, F.col("t").alias("_a"), (F.col("t") + lag_s).alias("_z"), F.col("seq").alias("_id"), F.col("bid").alias("_said"))
-    j = interval_join(book, w, keys, "t", "_a", "_z", width=max(lag_s, 1.0), closed="both")
-    hit = j.groupBy(*keys, "_id").agg(F.max((F.col("bid") == F.col("_said")).cast("int")).alias("_ok"))
-    return hit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_ok").alias("share_agree"))
-
-

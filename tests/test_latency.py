@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tapeloom.operators import passage, reactions
+from tapeloom.operators import attribution, ladder, passage, reactions
 
 
 def random_walks(rng, n, keys=2, step=1.0):
@@ -25,7 +25,7 @@ def test_first_passage_equals_a_search(spark, rows, fan):
     for k in range(160):
         own = series[series.key == f"k{k % 2}"]
         start = rng.uniform(-5, own.t.max() + 5)
-        asked.append((f"k{k % 2}", f"q{k}", int(rng.integers(0, 2)), start, start + rng.choice([3.0, 40.0, 1e9]), rng.normal(0, 8), bool(rng.integers(0, 2))))
+        asked.append((f"k{k % 2}", f"q{k}", int(rng.integers(0, 2)), start, start + float(rng.choice([3.0, 40.0, 1e9])), float(rng.normal(0, 8)), bool(rng.integers(0, 2))))
     asked += [("k0", "null level", 0, 1.0, 50.0, None, True), ("gone", "no series", 0, 1.0, 50.0, 0.0, True), ("k0", "twin", 0, 1.0, 1e9, 2.0, True)]
     schema = "key string, query string, column int, start double, stop double, level double, rising boolean"
     got = passage.first_passage(spark.createDataFrame(asked, schema), spark.createDataFrame(series.astype(object).where(series.notna(), None), "key string, t double, x double, y double"), ["key"], "t", ["x", "y"], rows=rows, fan=fan)
@@ -62,3 +62,64 @@ def test_a_follower_is_timed(spark):
     assert r.delay_placebo == pytest.approx(7.0 - 6.75)
     short = reactions.reaction_events(*made, ["key"], steps=1, jump=0.05, refractory=2.0, horizon=2.5, placebo=0.5).collect()[0]
     assert short.delay_50 == pytest.approx(1.25) and short.delay_90 is None and short.censored_90 and short.delay_placebo is None
+
+
+def replayed(events, questions, reach):
+    """The book by a plain replay, market by market."""
+    out = {}
+    for key, own in questions.groupby("key"):
+        rows = events[events.key == key].sort_values(["t", "seq"])
+        for q in own.itertuples():
+            sides, fresh = {"B": {}, "S": {}}, False
+            for e in rows[rows.t <= q.t].itertuples():
+                if e.is_snapshot:
+                    sides, fresh = {"B": {}, "S": {}}, True
+                sides[e.side][e.price] = e.size
+            bids, asks = ({p: s for p, s in sides[c].items() if s > 0} for c in "BS")
+            bid, ask = max(bids, default=None), min(asks, default=None)
+            mid = (bid + ask) / 2 if bids and asks else None
+            out[key, q.query] = (
+                bid, bids.get(bid), ask, asks.get(ask), mid and sum(s for p, s in bids.items() if p >= mid - reach), mid and sum(s for p, s in asks.items() if p <= mid + reach),
+                {"B": bids, "S": asks}.get(q.side, {}).get(q.price, 0.0), len(bids) + len(asks), fresh, sorted(bids.items(), reverse=True)[:2], sorted(asks.items())[:2])
+    return out
+
+
+@pytest.mark.parametrize("rows, cells", [(4096, 1 << 21), (5, 1 << 21), (16, 30)])
+def test_books_equal_a_replay(spark, monkeypatch, rows, cells):
+    monkeypatch.setattr(ladder, "CELLS", cells)
+    rng = np.random.default_rng(9)
+    n = 240
+    events = pd.DataFrame({"key": rng.choice(["a", "b"], n, p=[0.8, 0.2]), "t": np.sort(rng.integers(0, 120, n)).astype(float), "seq": np.arange(n), "side": rng.choice(["B", "S"], n), "price": rng.integers(40, 60, n).astype(float),
+                           "size": rng.choice([0.0, 1.0, 2.5, 7.0], n), "is_snapshot": rng.random(n) < 0.03})
+    asked = pd.DataFrame({"key": rng.choice(["a", "b", "none"], 90), "t": rng.integers(-3, 130, 90).astype(float), "query": [str(k) for k in range(90)], "side": rng.choice(["B", "S"], 90), "price": rng.integers(40, 60, 90).astype(float)})
+    made = ladder.book_states(spark.createDataFrame(events), ["key"], "t", questions=spark.createDataFrame(asked), reach=4.0, depth=2, rows=rows)
+    want = replayed(events, asked, 4.0)
+    got = made.collect()
+    assert len(got) == len(asked)
+    for r in got:
+        mine = (r.bid, r.bid_size, r.ask, r.ask_size, r.depth_bid, r.depth_ask, r.level_size, r.n_levels, r.fresh, [tuple(x) for x in r.bids], [tuple(x) for x in r.asks])
+        assert mine == want.get((r.key, r.query), (None,) * 6 + (0.0, 0, False, [], [])), (r, want.get((r.key, r.query)))
+
+
+def test_shares_of_a_level_add_up(spark):
+    rng = np.random.default_rng(2)
+    lower = pd.DataFrame({"key": "a", "seq": range(80), "t": np.sort(rng.uniform(0, 400, 80)), "side": "B", "price": rng.integers(1, 3, 80), "amount": rng.integers(1, 9, 80).astype(float), "left": 0.0})
+    trades = pd.DataFrame({"key": "a", "seq": range(60), "t": np.sort(rng.uniform(0, 400, 60)), "side": "B", "price": rng.integers(1, 3, 60), "size": rng.integers(1, 9, 60).astype(float)})
+    out = attribution.explain_decreases(spark.createDataFrame(lower), spark.createDataFrame(trades), ["key"], "t", lead=1.0, pause=12.0).toPandas()
+    assert len(out) == 140 and (out.explained >= 0).all() and (out.explained <= out.amount).all()
+    for price, own in out.groupby("price"):
+        d, t = (own[own.kind == k].explained.sum() for k in ("decrease", "trade"))
+        assert d == pytest.approx(t) and 0 < d < own[own.kind == "decrease"].amount.sum()
+        pool, last, taken = 0.0, None, {}
+        both = own.assign(at=np.where(own.kind == "trade", own.t - 1.0, own.t), kind_no=(own.kind == "decrease").astype(int)).sort_values(["at", "kind_no", "seq"])
+        for r in both.itertuples():
+            if last is not None and r.at - last > 12.0:
+                pool = 0.0
+            last = r.at
+            if r.kind == "trade":
+                pool += r.amount
+            else:
+                taken[r.seq] = min(pool, r.amount)
+                pool -= taken[r.seq]
+        mine = own[own.kind == "decrease"].set_index("seq").explained
+        assert mine.to_dict() == pytest.approx(taken)
