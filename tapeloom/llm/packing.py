@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.tables import documents, partitions, prepare
-from tapeloom.llm.text import utf8
 from tapeloom.llm.vocab import default_path, encoder
 
 SEQ_LEN = 2048
@@ -178,10 +177,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, seq_len:
         code = encoder(path, end_id)
         packer = Packer(seq_len, code.ends_sentence(), code.dtype, TaskContext.get().partitionId())
         for batch in batches:
-            data, at = utf8(batch.column(1))
-            text = data.tobytes()
-            for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if (out := packer.add(doc_id, code.encode(text[a:b]))) is not None:
+            for doc_id, ids in zip(batch.column(0).to_pylist(), code.encode_all(batch.column(1)), strict=True):
+                if (out := packer.add(doc_id, ids)) is not None:
                     yield out
         if (out := packer.pack(last=True)) is not None:
             yield out

@@ -98,12 +98,9 @@ class Words:
         return np.diff(self.first)
 
 
-def words(data: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACE) -> Words:
-    """Maximal runs of bytes outside ``separators``; a run ends at the end of its text."""
+def spans(data: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the maximal runs of bytes outside ``separators``; a run ends at the end of its text."""
     n = len(data)
-    if not n:
-        empty = np.zeros(0, np.int64)
-        return Words(empty, empty, np.zeros(0, U64), np.zeros(len(at), np.int64))
     gap = separators[data]
     opens, closes = np.empty(n, bool), np.empty(n, bool)
     opens[0] = closes[-1] = True
@@ -112,8 +109,16 @@ def words(data: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACE) -> W
     inner = at[(at > 0) & (at < n)]
     opens[inner] = True
     closes[inner - 1] = True
-    begin = np.flatnonzero(opens & ~gap)
-    end = np.flatnonzero(closes & ~gap) + 1
+    return np.flatnonzero(opens & ~gap), np.flatnonzero(closes & ~gap) + 1
+
+
+def words(data: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACE) -> Words:
+    """The words of texts laid end to end: their ``spans`` and hashes."""
+    n = len(data)
+    if not n:
+        empty = np.zeros(0, np.int64)
+        return Words(empty, empty, np.zeros(0, U64), np.zeros(len(at), np.int64))
+    begin, end = spans(data, at, separators)
     up, down = _BYTES(n)
     sums = np.zeros(n + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up, out=sums[1:])

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.tables import documents, partitions, prepare, shared_folder, stored
-from tapeloom.llm.text import utf8
 from tapeloom.llm.vocab import default_path, encoder
 
 #: Rows of a batch: with 2048 ids of two bytes, 1 MB.
@@ -150,9 +149,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         for batch in batches:
             if batch.num_rows:
                 out = out or ShardWriter(folder, TaskContext.get().partitionId(), code.dtype, seq_len)
-                data, at = utf8(batch.column(1))
-                text = data.tobytes()
-                out.add(batch.column(0), [code.encode(text[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+                out.add(batch.column(0), code.encode_all(batch.column(1)))
         if out:
             yield out.close()
 

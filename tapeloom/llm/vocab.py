@@ -1,6 +1,6 @@
-"""Token ids by the tokenizers library, with a bounded memo of encoded words.
+"""Token ids by the tokenizers library: each distinct word of a batch is encoded once, in a memory of bounded bytes.
 
-Text is cut at ASCII white space and each piece is encoded once. This gives the ids of the whole text because the
+Text is cut at ASCII white space and each piece is encoded alone. This gives the ids of the whole text because the
 vocabulary drops white space, its pre-tokeniser never joins characters across it, no special token contains it, and
 canonical composition does not reach over it. ``can_split`` checks these properties of a tokenizer file; a
 vocabulary without them is applied to whole texts.
@@ -9,21 +9,23 @@ vocabulary without them is applied to whole texts.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import os
 import re
 
 import numpy as np
-import regex
+import pyarrow as pa
 
-#: Words and parts of words kept since a memo's last turn; those of the turn before are kept too.
-WORDS, PIECES = 300_000, 150_000
+from tapeloom.llm.runs import Runs
+from tapeloom.llm.text import chunks, spans
+
+#: Bytes of ids that a worker keeps, and runs of marks whose ids it keeps.
+KEPT, TAILS = 24 << 20, 10_000
 #: How the vocabulary cuts normalised text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same for printable ASCII in lower case.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_LATIN = regex.compile(_SPLIT)
-#: Printable ASCII and Latin letters that are composed already and have one lower-case letter each.
-_PLAIN = re.compile(r"[\x20-\x7e\xa1-\u012f\u0131-\u017f]+")
+#: A word of one run of letters, with marks behind it that no contraction and no special token begins with.
+_SIMPLE = re.compile(rb"([A-Za-z]+)([!-&(-/:;=?@\[-`{}~]*)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -33,9 +35,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-_LETTERS = byte_letters()
-
-
 def can_split(spec: dict) -> bool:
     """White space is dropped and splits words, as in the files with lower-cased words."""
     normal = (spec.get("normalizer") or {}).get("normalizers", [])
@@ -51,26 +50,11 @@ def can_split(spec: dict) -> bool:
     )
 
 
-class _Memo(dict):
-    """A word -> bytes of its ids; encodes what it has not seen, and forgets what was not asked for in its last two turns."""
-
-    def __init__(self, encode, limit: int) -> None:
-        super().__init__()
-        self.encode, self.limit, self.before = encode, limit, {}
-
-    def __missing__(self, word):
-        if len(self) >= self.limit:
-            self.before = dict(self)
-            self.clear()
-        ids = self.before.get(word)
-        ids = self[word] = self.encode(word) if ids is None else ids
-        return ids
-
-
 class Encoder:
     """Ids of whole texts, as ``numpy`` arrays of the smallest type that holds the vocabulary."""
 
     def __init__(self, path: str, end_id: int | None = 1) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -80,29 +64,54 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         self.splits = can_split(spec)
-        self.special = [x["content"].encode() for x in spec["added_tokens"]]
-        self.pieces = _Memo(self._piece, PIECES)
-        self.memo = _Memo(self._word, WORDS)
-
-    def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], self.dtype).tobytes()
+        self.tails: dict[bytes, list[int]] = {}
+        self.runs = Runs(self._words, self.dtype, KEPT)
 
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if not _PLAIN.fullmatch(text) or any(x in word for x in self.special):
-            return self._whole(word)
-        if text.isascii():
-            return b"".join(map(self.pieces.__getitem__, _ASCII.findall(text.lower())))
-        return b"".join(self.pieces[p.encode().decode("latin-1").translate(_LETTERS)] for p in _LATIN.findall(text.lower()))
+    def _ids(self, piece: bytes) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece.decode())]
+
+    def _tail(self, marks: bytes) -> list[int]:
+        if marks not in self.tails:
+            if len(self.tails) >= TAILS:
+                self.tails.clear()
+            self.tails[marks] = self._ids(marks)
+        return self.tails[marks]
+
+    def _words(self, words: list[bytes]) -> list[np.ndarray]:
+        """Simple words by the merges alone, all others in one call of the whole tokenizer."""
+        out, rest = [], []
+        for k, word in enumerate(words):
+            if m := _SIMPLE.fullmatch(word):
+                ids = self._ids(m[1].lower())
+                out.append(ids + self._tail(m[2]) if m[2] else ids)
+            else:
+                out.append(None)
+                rest.append(k)
+        for k, found in zip(rest, self.tokenizer.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            out[k] = found.ids
+        ids = np.fromiter(itertools.chain.from_iterable(out), self.dtype)
+        ends = [0, *itertools.accumulate(map(len, out))]
+        return [ids[a:b] for a, b in itertools.pairwise(ends)]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, with the end id, as bytes."""
+        out: list[bytes] = []
+        for _, data, at in chunks(texts):
+            if not self.splits:
+                out += [self._whole(data[a:b].tobytes()) + self.end for a, b in itertools.pairwise(at.tolist())]
+                continue
+            begin, end = spans(data, at) if len(data) else (at[:0], at[:0])
+            ids, size = self.runs(data, begin, end)
+            place = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begin, at)]
+            out += [ids[a:b].tobytes() + self.end for a, b in itertools.pairwise(place.tolist())]
+        return out
 
     def encode(self, text: bytes) -> bytes:
-        """The ids of a text, with the end id, as bytes."""
-        if not self.splits:
-            return self._whole(text) + self.end
-        return b"".join(map(self.memo.__getitem__, text.split())) + self.end
+        """The ids of one text."""
+        return self.encode_all(pa.array([text], pa.binary()))[0]
 
     def ends_sentence(self) -> np.ndarray:
         """For each id, whether its text ends a sentence."""
@@ -114,7 +123,7 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str, end_id: int | None = 1) -> Encoder:
-    """One encoder for each Python worker: its memo lasts over the worker's tasks."""
+    """One encoder for each Python worker: what it has encoded lasts over the worker's tasks."""
     return Encoder(path, end_id)
 
 
