@@ -8,7 +8,7 @@ from tapeloom.catalog import views as v
 from tapeloom.catalog.registry import Query
 from tapeloom.functions.numeric import logistic
 from tapeloom.catalog.trading import BOOK_SQL, book_events
-from tapeloom.operators import attribution, ladder, passage, reactions, tiling
+from tapeloom.operators import attribution, ladder, lags, passage, reactions, tiling
 
 R = v.rsql
 Q: dict[str, Query] = {}
@@ -165,4 +165,65 @@ def _(spark, d):
     return v.r6(g, "symbol", "side", "price", decreased=None, taken=None, traded=None)
 
 
+# -- lead and lag ------------------------------------------------------------------------------------------------------------
+
+LAGS = [60.0 * k for k in range(-20, 101)]
+
+
+def lag_inputs(spark, d):
+    """The ticks' log prices as a step function, and an hourly reference that knows them 1,500 seconds late."""
+    t = ticks(spark, d).select("symbol", "t", F.log(1 + F.col("price")).alias("x"), "seq")
+    grid = v.bars(spark, d).select("symbol", (F.col("t") + 1800).cast("double").alias("t"))
+    from tapeloom.operators.asof import asof_join
+    late = asof_join(grid, t.withColumn("seen", F.col("t") + 1500), ["symbol"], "t", "seen", ["x"], tie="seq")
+    return late.where("x IS NOT NULL"), t
+
+
+LAG_SQL = v.base(TICK) + """, sx AS (SELECT symbol, ts AS t, ln(1 + price) AS x FROM tk), g0 AS (SELECT symbol, t + 1800.0 AS t FROM bars), sl AS (SELECT symbol, t + 1500 AS t, x FROM sx),
+rf AS (SELECT g0.symbol, g0.t, sl.x FROM g0 ASOF JOIN sl ON g0.symbol = sl.symbol AND g0.t >= sl.t),
+ch AS (SELECT a.symbol, a.t, a.x - b.x AS dx FROM rf a JOIN rf b ON a.symbol = b.symbol AND b.t = a.t - 3600),
+asked AS (SELECT ch.*, l.l AS lag, t - l.l AS t1, t - 3600 - l.l AS t0 FROM ch, (SELECT 60.0 * unnest(range(-20, 101)) AS l) l),
+y1 AS (SELECT a.*, sx.x AS x1 FROM asked a ASOF LEFT JOIN sx ON a.symbol = sx.symbol AND a.t1 >= sx.t),
+y0 AS (SELECT a.*, sx.x AS x0 FROM y1 a ASOF LEFT JOIN sx ON a.symbol = sx.symbol AND a.t0 >= sx.t),
+scan AS (SELECT symbol, lag::DOUBLE AS lag, count(x1 - x0) AS n, CASE WHEN count(x1 - x0) > 10 THEN corr(dx, x1 - x0) END AS corr FROM y0 GROUP BY 1, 2)"""
+
+
+def scanned(spark, d):
+    reference, series = lag_inputs(spark, d)
+    return lags.lag_scan(reference, series, ["symbol"], "t", "x", LAGS, 3600.0, tile_s=86400.0)
+
+
+@q("P18_lag_scan", LAG_SQL + f" SELECT symbol, lag, n, {R('corr')} FROM scan")
+def _(spark, d):
+    return v.r6(scanned(spark, d), "symbol", "lag", "n", corr=None)
+
+
+@q("P18_best_lag", LAG_SQL + f" SELECT symbol, arg_max(lag, (corr, -lag)) AS lag, {R('max(corr)', 'corr')} FROM scan WHERE corr IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    return v.r6(lags.best_lag(scanned(spark, d), ["symbol"]), "symbol", "lag", corr=None)
+
+
+def response_grid(spark, d):
+    """Half-hourly log prices, and an effect that takes up two thirds of a change at once and the rest an hour later."""
+    from tapeloom.operators.asof import asof_join
+    t = ticks(spark, d).select("symbol", "t", F.log(1 + F.col("price")).alias("x"), "seq")
+    ends = t.groupBy("symbol").agg(F.floor(F.min("t") / 1800).alias("a"), F.floor(F.max("t") / 1800).alias("z"))
+    grid = ends.select("symbol", F.explode(F.sequence(F.col("a") + 1, F.col("z"))).alias("b")).select("symbol", (F.col("b") * 1800).cast("double").alias("t"))
+    now = asof_join(grid, t.withColumnRenamed("t", "seen"), ["symbol"], "t", "seen", ["x"], tie="seq")
+    old = now.select("symbol", (F.col("t") + 3600).alias("t"), F.col("x").alias("w"))
+    return now.join(old, ["symbol", "t"], "left").select("symbol", "t", "x", (F.coalesce(F.col("x") * 2 / 3 + F.col("w") / 3, "x") + F.sin("t") / 50).alias("y"))
+
+
+@q("P19_distributed_lags")
+def _(spark, d):
+    out = lags.distributed_lags(response_grid(spark, d), ["symbol"], "t", "x", "y", 60)
+    return v.r6(out, "symbol", "n", "lag", beta=None, cumulative=None, share=None)
+
+
+@q("P19_response_times")
+def _(spark, d):
+    out = lags.response_times(lags.distributed_lags(response_grid(spark, d), ["symbol"], "t", "x", "y", 60), ["symbol"], 1800.0)
+    return v.r6(out, "symbol", "n", "t_25", "t_50", "t_75", "t_90", "t_peak", total=None)
+
+
 QUERIES = Q

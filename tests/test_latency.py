@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tapeloom.operators import attribution, ladder, passage, reactions
+from tapeloom.operators import attribution, ladder, lags, passage, reactions
 
 
 def random_walks(rng, n, keys=2, step=1.0):
@@ -123,3 +123,42 @@ def test_shares_of_a_level_add_up(spark):
                 pool -= taken[r.seq]
         mine = own[own.kind == "decrease"].set_index("seq").explained
         assert mine.to_dict() == pytest.approx(taken)
+
+
+def test_lags_equal_plain_sums(spark):
+    rng = np.random.default_rng(7)
+    t = np.arange(0.0, 400.0)
+    x = np.cumsum(rng.normal(size=400))
+    ticks = pd.DataFrame({"key": "a", "t": t + rng.uniform(0, 0.9, 400), "v": x})
+    reference = pd.DataFrame({"key": "a", "t": t[5:], "v": np.r_[x[2:-3]]})
+    shifts = [float(k) for k in range(-4, 9)]
+    scan = lags.lag_scan(spark.createDataFrame(reference), spark.createDataFrame(ticks), ["key"], "t", "v", shifts, 2.0, tile_s=37.0).toPandas().sort_values("lag")
+    at = lambda s: np.array([ticks.v[ticks.t <= q].iloc[-1] if (ticks.t <= q).any() else np.nan for q in s])
+    now = reference.t.to_numpy()[2:]
+    change = reference.v.to_numpy()[2:] - reference.v.to_numpy()[:-2]
+    for r in scan.itertuples():
+        y = at(now - r.lag) - at(now - r.lag - 2.0)
+        good = np.isfinite(y)
+        assert r.n == good.sum() and r.corr == pytest.approx(np.corrcoef(change[good], y[good])[0, 1])
+    assert lags.best_lag(spark.createDataFrame(scan), ["key"]).first().lag == scan.lag[scan["corr"].idxmax()]
+
+
+@pytest.mark.parametrize("rows", [16_384, 90])
+def test_responses_are_least_squares(spark, rows):
+    rng = np.random.default_rng(3)
+    n, k = 500, 6
+    c = np.cumsum(rng.normal(size=n))
+    dc = np.diff(c, prepend=np.nan)
+    e = np.cumsum(0.5 * np.nan_to_num(dc) + 0.3 * np.nan_to_num(np.r_[np.full(3, np.nan), dc[:-3]]) + rng.normal(0, 0.05, n))
+    c[200] = np.nan
+    grid = pd.DataFrame({"key": "a", "t": np.arange(n, dtype=float), "c": c, "e": e})
+    got = lags.distributed_lags(spark.createDataFrame(grid.astype(object).where(grid.notna(), None), "key string, t double, c double, e double"), ["key"], "t", "c", "e", k - 1, rows=rows).toPandas().sort_values("lag")
+    dc, de = np.diff(c, prepend=np.nan), np.diff(e, prepend=np.nan)
+    x = np.stack([np.r_[np.full(j, np.nan), dc[: n - j]] for j in range(k)], axis=1)
+    good = np.isfinite(x).all(axis=1) & np.isfinite(de)
+    beta, *_ = np.linalg.lstsq(x[good], de[good], rcond=None)
+    assert got.n.iloc[0] == good.sum()
+    np.testing.assert_allclose(got.beta, beta, rtol=1e-8, atol=1e-10)
+    np.testing.assert_allclose(got.share, np.cumsum(beta) / beta.sum(), rtol=1e-8)
+    times = lags.response_times(spark.createDataFrame(got), ["key"], 0.5, (0.5, 0.9)).first()
+    assert (times.t_50, times.t_90, times.t_peak) == (0.0, 1.5, 0.0)
