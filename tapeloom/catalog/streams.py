@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.catalog import views as v
 from tapeloom.catalog.registry import Query
-from tapeloom.streaming import streams
+from tapeloom.functions.numeric import logistic
+from tapeloom.streaming import state, streams
 
 R = v.rsql
 Q: dict[str, Query] = {}
@@ -62,4 +63,33 @@ def _(spark, d):
     return v.r6(streams.run_available(streams.transport_delay(t, "1 hour", "10 minutes")), "symbol", "t", "n", worst=None)
 
 
+# -- state and timers: rows are applied once the watermark has passed them ------------------------------------------------------
+
+PASSED = f"us <= ({EDGE} - 600000) * 1000"
+
+
+@q("ST02_price_buffer", v.with_(v.TICKS_SQL) + f"""SELECT symbol, seq, us, count(*) OVER w AS held, {R('first_value(price) OVER w', 'oldest')}, {R('avg(price) OVER w', 'mean')} FROM ticks WHERE {PASSED}
+WINDOW w AS (PARTITION BY symbol ORDER BY us RANGE BETWEEN 7199999999 PRECEDING AND CURRENT ROW)""")
+def _(spark, d):
+    return v.r6(streams.run_available(state.price_buffer(streams.tick_stream(spark, d), ["symbol"], 7200.0, "10 minutes")), "symbol", "seq", "us", "held", oldest=None, mean=None)
+
+
+@q("ST15_liveness", v.with_(v.TICKS_SQL) + f""", g AS (SELECT symbol, us AS since, lead(us) OVER (PARTITION BY symbol ORDER BY us) AS nxt FROM ticks WHERE {PASSED})
+SELECT symbol, since, since + 3600000000 AS silent_at, back.b AS back_at FROM g, LATERAL (SELECT unnest([NULL, nxt]) AS b) back WHERE (nxt - since > 3600000000) OR (nxt IS NULL AND b IS NULL AND (since + 3600000001 + 999) // 1000 <= {EDGE} - 600000) QUALIFY row_number() OVER (PARTITION BY symbol, since, b) = 1""")
+def _(spark, d):
+    return streams.run_available(state.liveness(streams.tick_stream(spark, d), ["symbol"], 3600.0, "10 minutes"))
+
+
+@q("ST04_live_signal", v.with_(v.TICKS_SQL) + f""", pr AS (SELECT symbol, us, round(1 / (1 + exp(-(price - 50) / 40)), 3) AS p, seq FROM ticks), lf AS (SELECT * FROM pr WHERE seq % 2 = 0 AND {PASSED}),
+bk AS (SELECT symbol, us AS bus, greatest(round(p - 0.02, 3), 0.01) AS bid, least(round(p + 0.02, 3), 0.99) AS ask FROM pr WHERE seq % 2 = 1),
+j AS (SELECT lf.*, bid, ask, (us - bus) / 1000000.0 AS age_s FROM lf ASOF LEFT JOIN bk ON lf.symbol = bk.symbol AND lf.us >= bk.bus),
+e AS (SELECT *, p - ask - 0.07::DOUBLE * ask * (1 - ask) AS ev_up, 1 - p - round(1 - bid, 3) - 0.07::DOUBLE * round(1 - bid, 3) * (1 - round(1 - bid, 3)) AS ev_down FROM j)
+SELECT symbol, us, {R('p')}, {R('bid')}, {R('ask')}, {R('age_s')}, {R('ev_up')}, {R('ev_down')}, CASE WHEN age_s <= 1200 AND greatest(ev_up, ev_down) > 0.05 THEN CASE WHEN ev_up >= ev_down THEN 'up' ELSE 'down' END ELSE 'none' END AS decision FROM e""")
+def _(spark, d):
+    p = streams.tick_stream(spark, d).select("symbol", "ts", "seq", F.round(logistic((F.col("price") - 50) / 40), 3).alias("p"))
+    books = p.where("seq % 2 = 1").select("symbol", "ts", "seq", F.greatest(F.round(F.col("p") - 0.02, 3), F.lit(0.01)).alias("bid"), F.least(F.round(F.col("p") + 0.02, 3), F.lit(0.99)).alias("ask"))
+    out = streams.run_available(state.live_signal(p.where("seq % 2 = 0"), books, ["symbol"], "10 minutes", margin=0.05, stale_s=1200.0))
+    return v.r6(out, "symbol", "us", "decision", p=None, bid=None, ask=None, age_s=None, ev_up=None, ev_down=None)
+
+
 QUERIES = Q
