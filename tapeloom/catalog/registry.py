@@ -15,7 +15,7 @@ class Query:
     sql: str | None = None
 
 
-MODULES = ("indicators", "tape", "joins", "stats", "trading", "streams", "panels", "latency")
+MODULES = ("indicators", "tape", "joins", "stats", "trading", "streams", "panels", "latency", "studies")
 
 
 def all_queries() -> dict[str, Query]:

@@ -8,7 +8,7 @@ from tapeloom.catalog import views as v
 from tapeloom.catalog.registry import Query
 from tapeloom.functions import prob
 from tapeloom.functions.numeric import logit, normal_cdf, normal_ppf
-from tapeloom.operators import ranks, stats
+from tapeloom.operators import ranks, stats, quantile
 from tapeloom.plans import scores, targets
 from tapeloom.plans.indicators import compute_indicators
 
@@ -195,7 +195,7 @@ def _(spark, d):
     tiled = tiling.tile(v.ticks(spark, d), ["symbol"], "ts", behind=1, tie=["seq"])
     us = F.unix_micros("ts")
     gaps = tiling.untile(tiled.withColumn("gap", (us - F.lag(us).over(tiling.tile_window(["symbol"]))) / 1000000))
-    g = gaps.filter(F.col("gap").isNotNull()).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.percentile("gap", F.array(*[F.lit(x) for x in (0.01, 0.1, 0.5, 0.9, 0.99)])).alias("p"))
+    g = quantile.exact_quantiles(gaps, ["symbol"], "gap", (0.01, 0.1, 0.5, 0.9, 0.99), "p")
     return v.r6(g, "symbol", "n", **{n: F.col("p")[i] for i, n in enumerate(("p01", "p10", "p50", "p90", "p99"))})
 
 

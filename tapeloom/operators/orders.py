@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tapeloom.functions.prob import taker_fee
 from tapeloom.operators.asof import asof_join
 from tapeloom.operators.intervals import islands
+from tapeloom.operators.quantile import exact_quantiles
 from tapeloom.operators.ranks import materialise
 
 EPS = 1e-9
@@ -91,10 +92,11 @@ def score_orders(fills: DataFrame, market: str, *, rebate_rate: float, fee_rate:
 def order_summary(scored: DataFrame, group: Sequence[str]) -> DataFrame:
     done = F.col("executed")
     share = lambda c: F.avg(c.cast("double"))
-    return scored.groupBy(*group).agg(
+    delays = exact_quantiles(scored.where(done).withColumn("_d", F.col("t_fill") - F.col("t_place")), group, "_d", [0.5], "_q")
+    out = scored.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_placed"), share(done).alias("fill_rate"), share(done & (F.col("reason") == "traversal")).alias("share_traversal"),
-        F.percentile(F.when(done, F.col("t_fill") - F.col("t_place")), F.lit(0.5)).alias("delay_p50"),
         F.avg("pnl").alias("pnl_per_placed"), F.avg(F.when(done, F.col("pnl"))).alias("pnl_per_executed"), F.sum("rebate").alias("rebate"))
+    return out.join(delays.select(*group, F.col("_q")[0].alias("delay_p50")), list(group), "left")
 
 
 def pair_summary(scored: DataFrame, pair: Sequence[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,10 +21,16 @@ RUNTIME_CONF = {
 }
 
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the library relies on to an existing session."""
+    """Apply the runtime settings the library relies on to an existing session; local Python workers find this package."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    known = spark.sparkContext.environment
+    if ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known.get("PYTHONPATH", "")]))
     return spark
 
 
@@ -47,6 +55,6 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -4,7 +4,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tapeloom.operators import attribution, ladder, lags, passage, reactions
+from pyspark.sql import functions as F
+
+from tapeloom.operators import attribution, ladder, lags, passage, quantile, reactions
+from tapeloom.plans import stacking
 
 
 def random_walks(rng, n, keys=2, step=1.0):
@@ -162,3 +165,45 @@ def test_responses_are_least_squares(spark, rows):
     np.testing.assert_allclose(got.share, np.cumsum(beta) / beta.sum(), rtol=1e-8)
     times = lags.response_times(spark.createDataFrame(got), ["key"], 0.5, (0.5, 0.9)).first()
     assert (times.t_50, times.t_90, times.t_peak) == (0.0, 1.5, 0.0)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 5000, p=[0.9, 0.09, 0.01]), "v": np.where(rng.random(5000) < 0.3, 2.0, rng.normal(size=5000).round(2))})
+    rows = pd.concat([rows, pd.DataFrame({"g": ["d", "a", "e"], "v": [7.0, np.nan, None]})])
+    probs = [0.0, 0.01, 0.3, 0.5, 0.77, 1.0]
+    df = spark.createDataFrame(rows.astype(object).where(rows.notna(), None), "g string, v double")
+    got = {r.g: r.q for r in quantile.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == {"a", "b", "c", "d"}
+    for g, own in rows.dropna().groupby("g"):
+        np.testing.assert_allclose(got[g], np.quantile(own.v.astype(float), probs), rtol=0, atol=1e-12)
+    whole = quantile.exact_quantiles(df, [], "v", [0.25]).first()
+    assert whole.q[0] == np.quantile(rows.v.dropna().astype(float), 0.25) and whole.n == rows.v.notna().sum()
+    classes = quantile.regime(df, ["g"], "v", F.col("v") < 1.5).toPandas()
+    own = rows[(rows.g == "a") & (rows.v < 1.5)].v.astype(float)
+    edges = np.quantile(own, [0.2, 0.4, 0.6, 0.8])
+    a = classes[(classes.g == "a") & classes.v.notna()]
+    assert (a.quintile == np.searchsorted(edges, a.v, side="right") + 1).all()
+    assert classes[classes.g == "d"].quintile.isna().all()
+
+
+def test_small_logistic_fits(spark):
+    rng = np.random.default_rng(6)
+    parts = []
+    for g, n in (("a", 400), ("b", 60), ("few", 10), ("apart", 40), ("one", 30)):
+        x = rng.normal(size=(n, 2))
+        y = (rng.random(n) < 1 / (1 + np.exp(-(0.5 + x @ [1.0, -2.0])))).astype(int)
+        y = (x[:, 0] > 0).astype(int) if g == "apart" else np.ones(n, int) if g == "one" else y
+        parts.append(pd.DataFrame({"g": g, "x1": x[:, 0], "x2": x[:, 1], "y": y}))
+    rows = pd.concat(parts, ignore_index=True)
+    fits = {r.g: r for r in stacking.newton_logits(spark.createDataFrame(rows), ["g"], ["x1", "x2"], "y").collect()}
+    assert set(fits) == {"a", "b", "few", "apart", "one"} and fits["few"].coef is None and fits["one"].coef is None and fits["few"].n == 10
+    for g in ("a", "b", "apart"):
+        own = rows[rows.g == g]
+        x = np.column_stack([np.ones(len(own)), own.x1, own.x2])
+        w = np.array(fits[g].coef)
+        slope = x.T @ (own.y - 1 / (1 + np.exp(-x @ w))) - np.array([0, 1e-4, 1e-4]) * w
+        assert np.abs(slope).max() / len(own) < 1e-8 and fits[g].gradient < 1e-9
+    test = stacking.stacking(rows_p := spark.createDataFrame(rows.assign(p=0.3, q=np.where(rows.x1 > 0, 0.6, 0.4), t=np.arange(len(rows)))), ["g"], ["p", "q"], "y", F.col("t") % 2 == 0)[1]
+    out = test.toPandas()
+    assert len(out) == len(rows) // 2 and out[out.g == "few"].p_stack.round(9).eq(0.3).all() and rows_p.columns == [c for c in out.columns if c != "p_stack"]
