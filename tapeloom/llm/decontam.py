@@ -9,8 +9,8 @@ The items are the query set: they are cut into blocks of about ``BLOCK_BYTES`` b
 block's automaton is sent to all tasks, which read all documents once for each block. Documents are not shuffled;
 only if there are several blocks are a document's results gathered.
 
-Null or empty texts have no words; items without words match nothing; items with equal ids count once; a repeated
-document gets its result on every row. Words are compared by 64-bit hashes.
+Null or empty texts have no words; items without words match nothing; items with equal ids count once; the passages of
+items with a null id are hits and are cut out, but such items are neither listed nor counted; a repeated document gets its result on every row. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from tapeloom.llm.text import LOWER, NOT_ALNUM, Words, chunks, words
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
+#: Stands for an item without an id: its passages are hits, but it is not listed.
+NAMELESS = "\x00"
 #: A document with a larger share of marked words goes whole.
 COVERAGE = 0.5
 
@@ -168,8 +170,9 @@ class Block:
 
 
 def blocks(items: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str) -> Iterator[Block]:
-    """The blocks one after the other; the driver holds one at a time."""
-    known = items.select(items[id_col].cast("string").alias("item"), items[text_col].cast("string").alias("text")).where("item is not null")
+    """The blocks of items one after the other."""
+    known = items.select(items[id_col].cast("string").alias("item"), items[text_col].cast("string").alias("text"))
+    known = known.withColumn("item", F.coalesce("item", F.lit(NAMELESS)))
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // block_bytes))
     for k in range(count):
@@ -206,7 +209,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes
                         longest[d] = max(longest[d], length)
                     part = batch.slice(row, n)
                     yield pa.record_batch(
-                        [part.column(0), part.column(1), pa.array(w.counts), pa.array(spans, hits), pa.array([sorted(set(x)) for x in names], pa.list_(pa.string())), pa.array(longest, pa.int32())],
+                        [part.column(0), part.column(1), pa.array(w.counts), pa.array(spans, hits), pa.array([sorted(set(x) - {NAMELESS}) for x in names], pa.list_(pa.string())), pa.array(longest, pa.int32())],
                         names=["doc_id", "row_key", "n_words", "hits", "items", "longest"],
                     )
 

@@ -237,6 +237,19 @@ def test_empty_tables(spark, none):
     assert decontam.decontamination_digest(none, items).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_items_without_an_id(spark, block):
+    """Their passages are hits, also when another item holds the same words, but only named items are listed."""
+    shared, own, lone = passage(70, 12), passage(71, 12), passage(72, 3)
+    items = spark.createDataFrame([(None, shared), (None, own), (5, shared), (None, lone), (6, passage(73, 15)), (None, None)], "item_id long, text string")
+    docs = [(1, f"x {shared} y", *[None] * 7), (2, f"{own} z", *[None] * 7), (3, "nothing of this", *[None] * 7), (4, f"a {lone} b", *[None] * 7)]
+    frame = spark.createDataFrame(docs, COLUMNS)
+    found = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontam.matches(frame, items, block_bytes=block).withColumn("n_hit", decontam.covered()).collect()}
+    assert found == {1: (12, ["5"]), 2: (12, []), 3: (0, []), 4: (3, [])}
+    kept = {r.doc_id: r.text for r in decontam.decontaminate(frame, items, coverage=0.95).collect()}
+    assert kept[1].split() == ["x", "y"] and kept[2].split() == ["z"] and kept[3] == docs[2][1]
+
+
 def test_no_references_and_no_items(spark):
     one = spark.createDataFrame([(1, passage(1, 100), None), (2, "short", None)], "doc_id long, text string, lang string")
     assert [r.kept for r in quality.judge(one).orderBy("doc_id").collect()] == [True, False]
