@@ -26,6 +26,10 @@ M = v.base(v.MARKETS_SQL)
 TICK = "tk AS (SELECT *, us / 1000000.0 AS ts FROM ticks)"
 
 
+#: The sources of the ticks.
+SYMBOLS = ("click", "error", "purchase", "signup", "view")
+
+
 def ticks(spark, d):
     return v.ticks(spark, d).withColumn("tsec", tiling.epoch_seconds(v.ticks(spark, d), "ts"))
 
@@ -153,18 +157,17 @@ def _(spark, d):
     return v.r6(out, "symbol", "s", "p_m30", "p_0", "p_600", age_0=None)
 
 
-@q("J25_aligned_series", v.base(TICK, v.MARKETS_SQL) + f"""SELECT qt, {', '.join(f"max(price) FILTER (symbol = '{x}') AS {x}" for x in ('click', 'view', 'error'))} FROM (
-SELECT g.symbol, qt, price FROM (SELECT sy.symbol, gs.gs AS qt FROM (SELECT unnest(['click', 'view', 'error']) AS symbol) sy, (SELECT unnest(range(min(t), max(t) + 1, 600)) AS gs FROM bars) gs) g ASOF LEFT JOIN tk ON g.symbol = tk.symbol AND g.qt >= tk.ts) GROUP BY 1""")
+@q("J25_aligned_series", v.base(TICK, v.MARKETS_SQL) + f"""SELECT qt, {', '.join(f"max(price) FILTER (symbol = '{x}') AS {x}" for x in SYMBOLS)} FROM (
+SELECT g.symbol, qt, price FROM (SELECT sy.symbol, gs.gs AS qt FROM (SELECT unnest({list(SYMBOLS)}) AS symbol) sy, (SELECT unnest(range(min(t), max(t) + 1, 600)) AS gs FROM bars) gs) g ASOF LEFT JOIN tk ON g.symbol = tk.symbol AND g.qt >= tk.ts) GROUP BY 1""")
 def _(spark, d):
     span = v.bars(spark, d).agg(F.min("t").cast("long").alias("a"), F.max("t").cast("long").alias("z"))
-    return series.aligned_series(ticks(spark, d), span, ["click", "view", "error"], 600)
+    return series.aligned_series(ticks(spark, d), span, SYMBOLS, 600)
 
 
-@q("J26_joint_state", v.base(TICK) + """SELECT seq, last_value(CASE WHEN symbol = 'click' THEN price END IGNORE NULLS) OVER w AS click, last_value(CASE WHEN symbol = 'view' THEN price END IGNORE NULLS) OVER w AS view
-FROM tk WHERE symbol IN ('click', 'view') WINDOW w AS (ORDER BY us ROWS UNBOUNDED PRECEDING)""")
+@q("J26_joint_state", v.base(TICK) + f"""SELECT seq, {', '.join(f"last_value(CASE WHEN symbol = '{x}' THEN price END IGNORE NULLS) OVER w AS {x}" for x in SYMBOLS)}
+FROM tk WINDOW w AS (ORDER BY us, seq ROWS UNBOUNDED PRECEDING)""")
 def _(spark, d):
-    t = ticks(spark, d).filter(F.col("symbol").isin("click", "view"))
-    return series.joint_state(t, ["click", "view"]).select("seq", "click", "view")
+    return series.joint_state(ticks(spark, d), SYMBOLS).select("seq", *SYMBOLS)
 
 
 @q("J27_cover_cost", v.base() + f""", vx(vertex, symbol, weight) AS (VALUES (1, 'click', 1.0), (1, 'view', 1.0), (2, 'error', 1.0), (2, 'click', 1.0), (3, 'view', 1.0), (3, 'purchase', 0.5), (3, 'error', 0.5)),

@@ -144,10 +144,10 @@ def _(spark, d):
     return v.r6(emb(spark, d), "vec_id", p_up=quantiles.probability_above(F.col("q"), F.col("last")))
 
 
-@q("K08_batch_forecast", v.base() + f""", lc AS (SELECT symbol, t, row_number() OVER w - 1 AS rn, list(ln(close)) OVER f AS c, lag(t, 31) OVER w AS t0 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t), f AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 31 PRECEDING AND CURRENT ROW)),
-o AS (SELECT symbol, t, c, list_transform(range(2, 33), lambda i: c[i] - c[i - 1]) AS dx FROM lc WHERE rn % 4 = 0 AND len(c) = 32 AND t - t0 = 111600) SELECT symbol, t, {R('c[32]', 'last_value')}, {R('c[32] - 1.2815515655446004 * list_stddev_pop(dx)', 'q10')} FROM o""")
+@q("K08_batch_forecast", v.base() + f""", lc AS (SELECT symbol, t, list(ln(close)) OVER f AS c, lag(t, 31) OVER w AS t0 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t), f AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 31 PRECEDING AND CURRENT ROW)),
+o AS (SELECT symbol, t, c, list_transform(range(2, 33), lambda i: c[i] - c[i - 1]) AS dx FROM lc WHERE len(c) = 32 AND t - t0 = 111600) SELECT symbol, t, {R('c[32]', 'last_value')}, {R('c[32] - 1.2815515655446004 * list_stddev_pop(dx)', 'q10')} FROM o""")
 def _(spark, d):
-    c = models.context_windows(v.bars(spark, d), 32, bar_s=3600, every=4)
+    c = models.context_windows(v.bars(spark, d), 32, bar_s=3600, every=1)
     return v.r6(models.batch_forecast(c), "symbol", "t", last_value=None, q10=F.col("q")[0])
 
 
