@@ -5,9 +5,11 @@ nodes link if 100 * |A & B| >= ``PERCENT`` * |A | B|, so each shares at least ce
 shingles with the other. In any common order of all shingles, the first n - o + l of each must then share l (for
 every l up to o): a prefix that is l - 1 shingles longer asks for l matches.
 
-1. The order puts shingles of many documents last. How many is estimated over all documents, from those shingles of
-   each that have the smallest hashes, a ``SHARE``-th of a prefix; the counts become a table of levels by cell of the
-   hash, of fixed size, that every task gets. A wrong level only costs time: every order gives the same links.
+1. The order puts shingles of many documents last. How many is estimated from all shingles of every ``SHARE``-th node,
+   chosen by its hash, so whatever many nodes hold is seen; the counts become a table of levels by cell of the
+   hash, of fixed size, that every task gets. A wrong level only costs time: every order gives the same links. With
+   common shingles last, what is a document's own fills its prefix, and a near copy with more of its own than a link
+   allows has too few list entries left to meet anyone.
 2. Each node picks its own l: the sum of the estimated list lengths over the longer prefix, plus the cost of verifying
    at most sum / l candidates, is to be least. Of two prefixes the one that ends first in the common order shares with
    the other all that it shares with the other's set; so a pair needs at least
@@ -41,8 +43,8 @@ from tapeloom.llm.text import LOWER, Words, chunks, mixed, window_hashes, words
 SHINGLE, PERCENT = 4, 85
 #: Bits of a shingle's hash that name its cell in the table of levels.
 CELL_BITS = 22
-#: Part of a prefix that is counted, and documents that hold a shingle there before it gets a level.
-SHARE, COMMON = 3, 4
+#: Part of the nodes whose shingles are counted, and counted nodes that hold a shingle before it gets a level.
+SHARE, COMMON = 16, 3
 #: The largest l, and what verifying a candidate costs in list entries.
 MOST_MATCHES, VERIFY = 6, 8
 
@@ -101,15 +103,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, row_key, n_shingles, node, and the shingles to count: the first of a prefix in order of the hashes."""
+    """doc_id, row_key, n_shingles, node, and the shingles to count: all of every ``SHARE``-th node."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, at in chunks(batch.column(1)):
                 sets = shingle_sets(words(LOWER[data], at), size)
                 part = batch.slice(row, len(sets))
+                nodes = [node_of(s) if len(s) else None for s in sets]
+                counted = [s if k is not None and k % SHARE == 0 else s[:0] for s, k in zip(sets, nodes, strict=True)]
                 yield pa.record_batch(
-                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), _lists([s[: -(-(len(s) - needed(len(s), percent) + 1) // SHARE)] for s in sets])],
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(counted)],
                     names=["doc_id", "row_key", "n_shingles", "node", "counted"],
                 )
 
@@ -118,7 +122,8 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def learn_order(known: DataFrame) -> Order:
     """Levels (base 2 logarithms) of the cells whose shingles many documents hold: at most 2 ** CELL_BITS small rows."""
-    shingle = known.select(F.explode("counted").alias("s"))
+    once = known.where(F.size("counted") > 0).groupBy("node").agg(F.first("counted").alias("counted"))
+    shingle = once.select(F.explode("counted").alias("s"))
     common = shingle.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     cell = F.shiftrightunsigned("s", 64 - CELL_BITS).cast("int").alias("cell")
     table = common.groupBy(cell).agg(F.max(F.floor(F.log2("n"))).cast("byte").alias("level")).orderBy("cell").toArrow()
