@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.catalog import views as v
 from tapeloom.catalog.registry import Query
-from tapeloom.operators import quantile
+from tapeloom.operators import covers, quantile
 from tapeloom.plans import stacking
 from tapeloom.sources import hourlog
 from tapeloom.streaming import streams
@@ -85,6 +85,53 @@ def _(spark, d):
     return v.r6(stacking.gap_slope(stack_rows(spark, d).where(F.col("day") >= SPLIT), ["instant"], "p", "p2", "y"), "instant", "n", slope=None)
 
 
+# -- linked markets: covers of three outcomes -----------------------------------------------------------------------------------
+
+#: Covers of the two books: vertex, token, weight.
+VERTICES = [(1, "click", 1.0), (1, "view", 1.0), (2, "error", 1.0), (2, "click", 1.0), (3, "view", 1.0), (3, "purchase", 0.5), (3, "error", 0.5)]
+
+COVER_SQL = f"""vx(vertex, token, weight) AS (VALUES {', '.join(f"({n}, '{t}', {w})" for n, t, w in VERTICES)}), bk AS (SELECT unnest([0, 1]) AS book),
+ak AS (SELECT seq % 2 AS book, symbol AS token, us / 1000000.0 AS t, CASE WHEN seq % 13 <> 0 THEN round(least(0.99, greatest(0.01, price / 150)), 3) END AS ask FROM ticks),
+legs AS (SELECT vertex, count(*) AS k FROM vx GROUP BY 1), inst AS (SELECT DISTINCT book, t FROM ak),
+st AS (SELECT i.book, i.t, x.vertex, x.weight, a.ask FROM (SELECT inst.*, vx.* FROM inst, vx) i JOIN vx x ON x.vertex = i.vertex AND x.token = i.token ASOF LEFT JOIN ak a ON a.book = i.book AND a.token = i.token AND i.t >= a.t),
+vc AS (SELECT book, t, vertex, sum(weight * ask) AS cost, count(ask) AS n FROM st GROUP BY 1, 2, 3),
+mn AS (SELECT i.book, i.t, min(struct_pack(cost := round(cost, 9), vertex := vertex)) FILTER (n = k) AS m FROM inst i LEFT JOIN vc USING (book, t) LEFT JOIN legs USING (vertex) GROUP BY 1, 2),
+sp AS (SELECT book, t, lead(t) OVER (PARTITION BY book ORDER BY t) AS until, m.vertex AS vertex, m.cost AS cost, 1 - m.cost AS margin FROM mn)"""
+
+
+def cover_spans(spark, d):
+    t = v.ticks(spark, d)
+    asks = t.select((F.col("seq") % 2).cast("int").alias("book"), F.col("symbol").alias("token"), (F.unix_micros("ts") / 1000000).alias("t"), "seq", F.when(F.col("seq") % 13 != 0, F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("price") / 150)), 3)).alias("ask"))
+    vertices = spark.createDataFrame([(b, *x) for b in (0, 1) for x in VERTICES], "book int, vertex int, token string, weight double")
+    return covers.cover_margins(asks, vertices, ["book"], "t")
+
+
+@q("L18_cover_margins", v.with_(v.TICKS_SQL, COVER_SQL) + f"SELECT book::INT AS book, {R('t')}, {R('until')}, vertex, {R('cost')}, {R('margin')} FROM sp")
+def _(spark, d):
+    return v.r6(cover_spans(spark, d), "book", "vertex", t=None, until=None, cost=None, margin=None)
+
+
+@q("D32_time_histogram", v.with_(v.TICKS_SQL, COVER_SQL) + f"""SELECT book::INT AS book, h.h AS hour, floor(round(margin / 0.1, 6))::BIGINT AS bin, {R('sum(least(until, (h.h + 1) * 3600) - greatest(t, h.h * 3600))', 'seconds')}
+FROM sp, LATERAL (SELECT unnest(range(floor(t / 3600)::BIGINT, ceil(until / 3600)::BIGINT)) AS h) h WHERE until > t GROUP BY 1, 2, 3""")
+def _(spark, d):
+    return v.r6(covers.time_histogram(cover_spans(spark, d), ["book"], "margin", 0.1), "book", "hour", "bin", seconds=None)
+
+
+EPISODE_SQL = """, on_ AS (SELECT *, coalesce(margin >= 0.2, false) AS up FROM sp), rn AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY t) - row_number() OVER (PARTITION BY book, up ORDER BY t) AS run FROM on_),
+ep AS (SELECT book, min(t) AS start, max(until) AS "end", max(margin) AS best FROM rn WHERE up GROUP BY book, run HAVING count(*) = count(until))"""
+
+
+@q("L18_cover_episodes", v.with_(v.TICKS_SQL, COVER_SQL) + EPISODE_SQL + f"""SELECT book::INT AS book, {R('start')}, {R('"end"', '"end"')}, {R('best')} FROM ep""")
+def _(spark, d):
+    return v.r6(covers.episodes(cover_spans(spark, d), ["book"], F.col("margin") >= 0.2), "book", start=None, end=None, best=None)
+
+
+@q("L18_episode_survival", v.with_(v.TICKS_SQL, COVER_SQL) + EPISODE_SQL + f"""SELECT book::INT AS book, l.l AS latency, count(*) AS n, {R('avg(("end" - start >= l.l)::INT)', 'share')} FROM ep, (SELECT unnest([0.0::DOUBLE, 60.0, 600.0, 3600.0]) AS l) l GROUP BY 1, 2""")
+def _(spark, d):
+    found = covers.episodes(cover_spans(spark, d), ["book"], F.col("margin") >= 0.2)
+    return v.r6(covers.survival(found, ["book"], [0.0, 60.0, 600.0, 3600.0]), "book", "latency", "n", share=None)
+
+
 # -- logs in hour files, written from the ticks and read back ------------------------------------------------------------------
 
 NANO = 1_000_000_000

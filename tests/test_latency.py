@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tapeloom.operators import attribution, ladder, lags, passage, quantile, reactions
+from tapeloom.operators import attribution, covers, ladder, lags, passage, quantile, reactions
 from tapeloom.plans import stacking
 
 
@@ -207,3 +207,26 @@ def test_small_logistic_fits(spark):
     test = stacking.stacking(rows_p := spark.createDataFrame(rows.assign(p=0.3, q=np.where(rows.x1 > 0, 0.6, 0.4), t=np.arange(len(rows)))), ["g"], ["p", "q"], "y", F.col("t") % 2 == 0)[1]
     out = test.toPandas()
     assert len(out) == len(rows) // 2 and out[out.g == "few"].p_stack.round(9).eq(0.3).all() and rows_p.columns == [c for c in out.columns if c != "p_stack"]
+
+
+def test_covers_follow_every_change(spark):
+    rng = np.random.default_rng(8)
+    n = 160
+    asks = pd.DataFrame({"g": rng.integers(0, 2, n), "token": rng.choice(list("abc"), n), "t": np.sort(rng.integers(0, 100, n)).astype(float), "seq": np.arange(n), "ask": np.where(rng.random(n) < 0.15, np.nan, rng.integers(10, 60, n) / 100)})
+    vertices = [(1, "a", 1.0), (1, "b", 1.0), (2, "b", 0.5), (2, "c", 1.0)]
+    table = spark.createDataFrame([(g, *x) for g in (0, 1) for x in vertices], "g long, vertex int, token string, weight double")
+    made = covers.cover_margins(spark.createDataFrame(asks.astype(object).where(asks.notna(), None), "g long, token string, t double, seq long, ask double"), table, ["g"], "t")
+    spans = made.toPandas().sort_values(["g", "t"])
+    for g, own in asks.groupby("g"):
+        mine = spans[spans.g == g]
+        assert mine.t.tolist() == sorted(own.t.unique()) and mine.until.tolist()[:-1] == mine.t.tolist()[1:]
+        for r in mine.itertuples():
+            now = own[own.t <= r.t].groupby("token").tail(1).set_index("token").ask.dropna()
+            costs = {v: sum(w * now[t] for u, t, w in vertices if u == v) for v in (1, 2) if all(t in now for u, t, _ in vertices if u == v)}
+            if costs:
+                assert r.cost == pytest.approx(min(costs.values())) and costs[int(r.vertex)] == pytest.approx(r.cost)
+            else:
+                assert pd.isna(r.cost) and pd.isna(r.vertex)
+    hist = covers.time_histogram(made, ["g"], "margin", 0.1, cell_s=7.0).toPandas()
+    for g, own in hist.groupby("g"):
+        assert own.seconds.sum() == pytest.approx(spans[spans.g == g].t.max() - spans[spans.g == g].t.min()) and own.groupby("hour").seconds.sum().max() <= 7.0
