@@ -71,6 +71,7 @@ def test_run_and_entry(spark):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert [n for n in entry.queries() if n.startswith("op")] == [
         "op1_packing", "op2_substring_dedup", "op3_sharding", "op4_quality_rules", "op5_decontamination", "op6_language_id", "op7_html_extraction", "op8_line_dedup", "op9_ngram_join", "op10_token_files",
+        "op11_hard_negatives", "op12_byte_bpe", "op13_divergence_audit",
     ]
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
 
