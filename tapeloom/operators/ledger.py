@@ -37,8 +37,11 @@ def exposure(side: Column, outcome: Column, price: Column) -> tuple[Column, Colu
     return bought, F.when(side == "BUY", price).otherwise(1 - price)
 
 
-def wallet_market_pnl(trades: DataFrame, fee_rate: float = FEE_RATE, rebate_rate: float = REBATE_RATE) -> DataFrame:
-    """One row per wallet and market: signed positions, cash, fees, payout, P&L and the pro-rata maker rebate."""
+def wallet_market_pnl(trades: DataFrame, fee_rate: float = FEE_RATE, rebate_rate: float = REBATE_RATE, *, rebate: bool = True) -> DataFrame:
+    """One row per wallet and market: signed positions, cash, fees, payout, P&L and the pro-rata maker rebate.
+
+    The rebate needs the trades a second time, for the sums of each market; without it they are read once.
+    """
     sign = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
     up = F.col("outcome") == "Up"
     taker, maker = F.col("role") == "taker", F.col("role") == "maker"
@@ -66,26 +69,27 @@ def wallet_market_pnl(trades: DataFrame, fee_rate: float = FEE_RATE, rebate_rate
         F.max("asset").alias("asset"),
         F.max("window_start").alias("window_start"),
     )
-    pools = out.groupBy("condition").agg(F.sum("fees").alias("_pool"), F.sum("maker_fee_equiv").alias("_equiv"))
     won = F.col("resolved_up").cast("double")
-    return (
-        out.join(pools, "condition")
-        .withColumn("payout", F.col("pos_up") * won + F.col("pos_down") * (1 - won))
+    out = (
+        out.withColumn("payout", F.col("pos_up") * won + F.col("pos_down") * (1 - won))
         .withColumn("pnl", F.col("cash") - F.col("fees") + F.col("payout"))
-        .withColumn("rebate_est", F.when(F.col("_equiv") > 0, rebate_rate * F.col("_pool") * F.col("maker_fee_equiv") / F.col("_equiv")).otherwise(0.0))
-        .withColumn("pnl_incl_rebate", F.col("pnl") + F.col("rebate_est"))
         .withColumn("taker_share", F.when(F.col("volume") > 0, F.col("taker_notional") / F.col("volume")))
         .withColumn("net_up", F.round(F.col("pos_up") - F.col("pos_down"), 6))
         .withColumn("direction", F.when(F.col("net_up") > 1e-6, "Up").when(F.col("net_up") < -1e-6, "Down").otherwise("flat"))
-        .drop("_pool", "_equiv")
     )
+    if not rebate:
+        return out
+    # sums of a market come from its trades: few rows leave a task, and no ledger row is made twice
+    pools = trades.groupBy("condition").agg(yes(taker, F.rint(equiv * 100000) / 100000).alias("_pool"), yes(maker, equiv).alias("_equiv"))
+    share = F.when(F.col("_equiv") > 0, rebate_rate * F.col("_pool") * F.col("maker_fee_equiv") / F.col("_equiv")).otherwise(0.0)
+    return out.join(pools, "condition").withColumn("rebate_est", share).withColumn("pnl_incl_rebate", F.col("pnl") + F.col("rebate_est")).drop("_pool", "_equiv")
 
 
 def hourly_wallet_table(pnl: DataFrame, step_s: int = 3600) -> DataFrame:
     """Per (hour of the window start, wallet) sums, win rate and the rank of the wallet in the hour."""
     hour = (F.floor(F.col("window_start") / step_s) * step_s).alias("hour")
     out = pnl.groupBy(hour, "wallet").agg(
-        F.sum("pnl").alias("pnl"), F.sum("pnl_incl_rebate").alias("pnl_incl_rebate"), F.sum("fees").alias("fees"),
+        F.sum("pnl").alias("pnl"), *[F.sum(c).alias(c) for c in ("pnl_incl_rebate",) if c in pnl.columns], F.sum("fees").alias("fees"),
         F.sum("volume").alias("volume"), F.countDistinct("condition").alias("n_markets"),
         F.sum("n_trades").alias("n_trades"), F.count(F.when(F.col("pnl") > 0, 1)).alias("n_wins"),
         F.sum("taker_notional").alias("_taker"), F.percentile("first_t_rel", F.lit(0.5)).alias("first_t_rel_median"),
