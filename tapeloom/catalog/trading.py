@@ -77,24 +77,34 @@ fills AS (SELECT od.*, CASE WHEN b IS NOT NULL AND (qq IS NULL OR b <= qq) THEN
   CASE WHEN NOT crossing THEN coalesce(CASE WHEN b IS NOT NULL AND (qq IS NULL OR b <= qq) THEN b[3] ELSE qq[3] END, whole, 0) END AS consumed FROM od LEFT JOIN fl USING (order_id))"""
 
 
-def order_inputs(spark, d):
-    """One bid per maker row, side and level, and taker trades as each side's bids see them."""
+GRID = ((1, 0.35, "Up"), (2, 0.55, "Up"), (3, 0.35, "Down"), (4, 0.55, "Down"))
+
+
+def order_inputs(spark, d, won=False):
+    """Maker rows, taker trades, and how each becomes one bid per side and level, and the trade as each side's bids see it."""
     from tapeloom.operators.ledger import attach_market_info
-    t = attach_market_info(v.tape(spark, d), v.tape_markets(spark, d))
-    sides = v.tape(spark, d).filter(F.col("role") == "taker").withColumn("bid", F.explode(F.array(F.lit("Up"), F.lit("Down"))))
-    own, sells = F.col("outcome") == F.col("bid"), F.col("side") == "SELL"
-    seen = lambda same: F.when(same & own, F.col("price")).when(~same & ~own, 1 - F.col("price"))
-    tk = sides.select("condition", "bid", F.col("ts").alias("t"), "seq", "size", seen(sells).alias("cp"), seen(~sells).alias("ap"))
-    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lv).alias("level"), F.lit(bid).alias("bid")) for k, lv, bid in ((1, 0.35, "Up"), (2, 0.55, "Up"), (3, 0.35, "Down"), (4, 0.55, "Down"))])
-    od = t.filter(F.col("role") == "maker").select("condition", "seq", "ts", "resolved_up", F.inline(grid)).select(
-        "condition", "bid", (F.col("seq") * 10 + F.col("k")).alias("order_id"), F.col("ts").alias("t_place"), (F.col("ts") + SPAN).alias("t_cancel"), "level",
-        F.lit(20.0).alias("q_ahead"), F.lit(5.0).alias("size"), (F.col("resolved_up") == (F.col("bid") == "Up")).alias("won"))
-    return od, tk
+    t = v.tape(spark, d)
+    makers = t.filter(F.col("role") == "maker")
+    makers = (attach_market_info(makers, v.tape_markets(spark, d)) if won else makers).select("condition", "seq", F.col("ts").alias("t_place"), *(["resolved_up"] if won else []))
+    takers = t.filter(F.col("role") == "taker").select("condition", F.col("ts").alias("t"), "seq", "size", "price", (F.col("outcome") == "Up").alias("up"), (F.col("side") == "SELL").alias("sells"))
+    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lv).alias("level"), F.lit(bid).alias("bid")) for k, lv, bid in GRID])
+
+    def spread(o):
+        extra = [(F.col("resolved_up") == (F.col("bid") == "Up")).alias("won")] if won else []
+        return o.select("*", F.inline(grid)).select("condition", "bid", "_c", "level", (F.col("seq") * 10 + F.col("k")).alias("order_id"), "t_place",
+                                                    (F.col("t_place") + SPAN).alias("t_cancel"), F.lit(20.0).alias("q_ahead"), F.lit(5.0).alias("size"), *extra)
+
+    def see(x):
+        own = F.col("up") == (F.col("bid") == "Up")
+        seen = lambda same: F.when(same & own, F.col("price")).when(~same & ~own, 1 - F.col("price"))
+        return x.withColumn("bid", F.explode(F.array(F.lit("Up"), F.lit("Down")))).select("condition", "bid", "_c", "t", "seq", "size", seen(F.col("sells")).alias("cp"), seen(~F.col("sells")).alias("ap"))
 
+    return makers, takers, {"market": ["condition"], "levels": sorted({lv for _, lv, _ in GRID}), "spread": spread, "see": see}
 
-def fills(spark, d):
-    od, tk = order_inputs(spark, d)
-    return orders.resting_fills(od, tk, ["condition", "bid"], delay=3600, lookback=BACK)
+
+def fills(spark, d, won=False, consumed=False):
+    makers, takers, how = order_inputs(spark, d, won)
+    return orders.resting_fills(makers, takers, ["condition", "bid"], delay=3600, lookback=BACK, life=SPAN, consumed=consumed, **how)
 
 
 O = v.with_(v.TAPE_SQL, ORD_SQL)
@@ -102,13 +112,13 @@ O = v.with_(v.TAPE_SQL, ORD_SQL)
 
 @q("L05_resting_fills", O + f"SELECT order_id, t_fill, reason, {R('consumed')}, t_fill IS NOT NULL AS executed FROM fills")
 def _(spark, d):
-    return v.r6(fills(spark, d), "order_id", "t_fill", "reason", "executed", consumed=None)
+    return v.r6(fills(spark, d, consumed=True), "order_id", "t_fill", "reason", "executed", consumed=None)
 
 
 @q("L06_crossing", O + "SELECT order_id, crossing FROM od")
 def _(spark, d):
-    od, tk = order_inputs(spark, d)
-    return orders.crossing(od, tk, ["condition", "bid"], delay=3600, lookback=BACK).select("order_id", "crossing")
+    makers, takers, how = order_inputs(spark, d)
+    return orders.crossing(makers, takers, ["condition", "bid"], delay=3600, lookback=BACK, **how).select("order_id", "crossing")
 
 
 @q("L10_cancel_expansion", O + "SELECT order_id, c.c AS cancel, coalesce(t_fill < t_place + c.c + 3600, false) AS executed FROM fills, (SELECT unnest([86400.0::DOUBLE, 2592000.0::DOUBLE]) AS c) c")
@@ -121,8 +131,12 @@ sc AS (SELECT *, raw * CASE WHEN sum(raw) OVER m > 0.05 THEN 0.05 / sum(raw) OVE
 scored AS (SELECT *, CASE WHEN executed THEN (won::INT - level) * size ELSE 0 END + rebate AS pnl FROM sc)"""
 
 
+def settled(spark, d):
+    return fills(spark, d, won=True).filter(F.col("won").isNotNull())
+
+
 def scored(spark, d):
-    f = fills(spark, d).filter(F.col("won").isNotNull()).withColumn("rebate_cap", F.lit(0.05))
+    f = settled(spark, d).withColumn("rebate_cap", F.lit(0.05))
     return orders.score_orders(f, "condition", rebate_rate=0.2, fee_rate=0.07)
 
 
@@ -133,12 +147,12 @@ def _(spark, d):
 
 @q("D24_order_summary", SCORED + f"""SELECT {R('level')}, count(*) AS n_placed, {R('avg(executed::INT)', 'fill_rate')}, {R("avg(coalesce(executed AND reason = 'traversal', false)::INT)", 'share_traversal')}, {R('quantile_cont(t_fill - t_place, 0.5) FILTER (executed)', 'delay_p50')}, {R('avg(pnl)', 'pnl_per_placed')}, {R('avg(pnl) FILTER (executed)', 'pnl_per_executed')} FROM scored GROUP BY scored.level""")
 def _(spark, d):
-    return v.r6(orders.order_summary(scored(spark, d), ["level"]), "n_placed", level=None, fill_rate=None, share_traversal=None, delay_p50=None, pnl_per_placed=None, pnl_per_executed=None)
+    return v.r6(orders.order_summary(scored(spark, d), ["level"], settled(spark, d)), "n_placed", level=None, fill_rate=None, share_traversal=None, delay_p50=None, pnl_per_placed=None, pnl_per_executed=None)
 
 
 @q("D25_pair_summary", SCORED + "SELECT count(*) AS n_pairs, count(*) FILTER (k = 2) AS both, count(*) FILTER (k = 1) AS one, count(*) FILTER (k = 0) AS none FROM (SELECT sum(executed::INT) AS k FROM scored GROUP BY order_id // 10, level HAVING count(*) = 2)")
 def _(spark, d):
-    return orders.pair_summary(scored(spark, d).withColumn("p", F.floor(F.col("order_id") / 10)), ["p", "level"])
+    return orders.pair_summary(settled(spark, d).withColumn("p", F.floor(F.col("order_id") / 10)), ["p", "level"])
 
 
 # -- rules on predictions --------------------------------------------------------------------------------------------------------

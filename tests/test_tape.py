@@ -2,8 +2,9 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from tapeloom.operators import tapes
+from tapeloom.operators import orders, tapes
 
 
 def test_leader_ranks_match_brute_force(spark):
@@ -26,8 +27,42 @@ def test_best_steps_hold_k_rows_a_period():
     z, past, wallet = a + rng.integers(1, 121, 20000), rng.integers(1, 5000, 20000).astype(float), np.arange(20000)
     best = tapes.BestSteps(5)
     best.add(a, z, wallet, past)
-    assert len(best.h) == 5 * len(np.unique(best.h))
+    assert np.unique(best.h, return_counts=True)[1].max() == 5
     for h in (0, 7, 150, 300):
         on = np.flatnonzero((a <= h) & (h < z))
         top = on[np.lexsort((wallet[on], -past[on]))][:5]
         assert best.wallet[best.h == h].tolist() == wallet[top].tolist()
+
+
+def test_fills_over_long_spans_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    o = pd.DataFrame({"order_id": range(120), "m": rng.integers(0, 2, 120), "level": rng.choice([0.3, 0.5], 120), "t_place": rng.integers(0, 2000, 120).astype(float)})
+    o["t_cancel"], o["q_ahead"], o["size"] = o.t_place + rng.integers(-3, 60, 120), 4.0, 2.0
+    t = pd.DataFrame({"m": rng.integers(0, 2, 900), "t": rng.integers(0, 2100, 900).astype(float), "seq": rng.permutation(900), "size": rng.integers(1, 4, 900).astype(float)})
+    t["cp"], t["ap"] = rng.choice([0.2, 0.3, 0.5, 0.7], 900), np.where(rng.random(900) < 0.03, 0.45, np.nan)
+    trades = spark.createDataFrame(t).withColumn("ap", F.when(~F.isnan("ap"), F.col("ap")))
+    got = orders.resting_fills(spark.createDataFrame(o), trades, ["m"], delay=2, lookback=10)
+    got = {r.order_id: r for r in got.collect()}
+    assert len(got) == 120
+    for r in o.itertuples():
+        x = t[t.m == r.m].sort_values(["t", "seq"])
+        cross = bool(((x.ap <= r.level + 1e-9) & (x.t >= r.t_place + 2 - 10) & (x.t < r.t_place + 2)).any())
+        x = x[(x.t >= r.t_place + 2) & (x.t < r.t_cancel + 2) & (x.cp <= r.level + 1e-9)]
+        cum = x["size"].cumsum()
+        done = x[(cum >= 6 - 1e-9) | (x.cp < r.level - 1e-9)]
+        g = got[r.order_id]
+        assert g.crossing == cross
+        if cross or r.t_cancel <= r.t_place:
+            assert g.t_fill is None and g.consumed is None
+        elif len(done):
+            assert g.t_fill == done.t.iloc[0] and g.consumed == cum[done.index[0]]
+            assert g.reason == ("traversal" if done.cp.iloc[0] < r.level - 1e-9 else "queue")
+        else:
+            assert g.t_fill is None and g.consumed == x["size"].sum()
+
+
+def test_orders_move_once(spark):
+    o = spark.createDataFrame([(1, 0, 0.5, 0.0, 9.0, 1.0, 1.0)], "order_id long, m long, level double, t_place double, t_cancel double, q_ahead double, size double")
+    t = spark.createDataFrame([(0, 1.0, 1, 5.0, 0.4, None)], "m long, t double, seq long, size double, cp double, ap double")
+    plan = orders.resting_fills(o, t, ["m"], delay=0, lookback=1, life=9, levels=[0.5])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange REPARTITION") <= 2
