@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tapeloom.functions.numeric import round_binary
 from tapeloom.operators.asof import align_benchmark, asof_join
 from tapeloom.operators.resample import ticks_to_bars
 
@@ -100,7 +101,7 @@ def tape(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag",
         "l_linestatus", "l_shipdate")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    price = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.round(F.col("l_extendedprice") / 105000, 2)))
+    price = F.least(F.lit(0.99), F.greatest(F.lit(0.01), round_binary(F.col("l_extendedprice") / 105000, 2)))
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("wallet"), F.col("l_partkey").alias("condition"),
         F.when(F.col("l_linestatus") == "O", "Up").otherwise("Down").alias("outcome"),

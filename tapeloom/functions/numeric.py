@@ -29,7 +29,15 @@ def clip(x: Column, lo: float, hi: float) -> Column:
 
 def ndigits(x: Column, digits: int = 6) -> Column:
     """Rounded copy without a negative zero, for reports and comparisons."""
-    return F.round(x, digits) + F.lit(0.0)
+    return round_binary(x, digits) + F.lit(0.0)
+
+
+def round_binary(x: Column, digits: int) -> Column:
+    """Rounded as SQL engines with binary doubles do: the scaled number goes to the nearest whole one, halves away from zero.
+
+    Spark's ``round`` takes the shortest decimal form of the number instead, so 0.285 becomes 0.29 there and 0.28 here.
+    """
+    return F.round(x * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
 
 
 def normal_cdf(x: Column) -> Column:

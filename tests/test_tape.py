@@ -4,7 +4,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tapeloom.operators import orders, tapes
+from tapeloom.functions.numeric import ndigits, round_binary
+from tapeloom.operators import orders, series, tapes
+from tapeloom.streaming import state
 
 
 def test_leader_ranks_match_brute_force(spark):
@@ -66,3 +68,31 @@ def test_orders_move_once(spark):
     t = spark.createDataFrame([(0, 1.0, 1, 5.0, 0.4, None)], "m long, t double, seq long, size double, cp double, ap double")
     plan = orders.resting_fills(o, t, ["m"], delay=0, lookback=1, life=9, levels=[0.5])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange REPARTITION") <= 2
+
+
+def test_rounding_of_binary_halves(spark):
+    # 0.285 is a little less than its shortest decimal form says
+    r = spark.range(1).select(round_binary(F.lit(30975.0 - 1050.0) / 105000, 2).alias("a"), ndigits(F.lit(49.0453125)).alias("b"), ndigits(F.lit(float("inf"))).alias("c")).first()
+    assert (r.a, r.b, r.c) == (0.28, 49.045313, float("inf"))
+
+
+def test_a_price_of_zero_has_no_slope_and_an_endless_range(spark):
+    t = pd.DataFrame({"symbol": "a", "ts": pd.to_datetime([0, 60, 120, 3600, 3660, 3720], unit="s"), "price": [1.0, 0.0, 2.0, 1.0, 2.0, 4.0], "size": 1})
+    got = series.half_window_aggregates(spark.createDataFrame(t), 3600).orderBy("t").collect()
+    assert np.isnan(got[0].slope1) and abs(got[1].slope1 - np.log(2)) < 1e-9
+    b = pd.DataFrame({"symbol": "a", "t": np.arange(8) * 3600, "open": 2.0, "close": 2.0, "high": 3.0, "low": 1.0})
+    b.loc[2, "low"] = 0.0
+    b["open_time"] = pd.to_datetime(b.t, unit="s")
+    v = series.vol_estimators(spark.createDataFrame(b), 4, bar_s=3600).orderBy("t").toPandas()
+    assert np.isinf(v.park4[3:6]).all() and np.isinf(v.gk4[3:6]).all() and np.isfinite(v.park4[6:]).all()
+
+
+def test_price_buffer_counts_rows_of_one_time_together():
+    class Empty:
+        exists = staticmethod(lambda: False)
+        put = staticmethod(lambda rows: None)
+
+    buffer = state.PriceBuffer(["k"], 10.0)
+    buffer.buffer = Empty()
+    got = buffer.apply(("a",), pd.DataFrame({"us": [0, 5_000_000, 5_000_000], "seq": [1, 2, 3], "price": [1.0, 2.0, 6.0]}))
+    assert got["held"].tolist() == [1, 3, 3] and got["mean"].tolist() == [1.0, 3.0, 3.0]
