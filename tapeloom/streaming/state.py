@@ -111,11 +111,12 @@ class PriceBuffer(InOrder):
         us, price = every["us"].to_numpy(np.int64), every["price"].to_numpy(float)
         at = np.arange(len(before), len(every))
         first = np.searchsorted(us, us[at] - self.keep, side="right")
-        total = np.concatenate([[0.0], np.cumsum(price)])
+        upto = np.searchsorted(us, us[at], side="right")  # rows of one time see each other
+        total = np.concatenate([[0.0], np.cumsum(price, dtype=np.longdouble)])
         keep = every[us > us[-1] - self.keep]
         self.buffer.put(as_rows(keep, self.waiting_schema))
-        held = at - first + 1
-        return pd.DataFrame({"seq": rows["seq"], "us": rows["us"], "held": held, "oldest": price[first], "mean": (total[at + 1] - total[first]) / held})
+        held = upto - first
+        return pd.DataFrame({"seq": rows["seq"], "us": rows["us"], "held": held, "oldest": price[first], "mean": ((total[upto] - total[first]) / held).astype(float)})
 
     def idle(self) -> int | None:
         last = None
