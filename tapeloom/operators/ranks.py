@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tapeloom.session import ensure_checkpoint_dir
 
 CELLS = 256
+#: A group gets no more cells than parts of this many rows: every row is held against every edge of its group.
+CELL_ROWS = 16384
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -29,7 +31,8 @@ def value_cells(df: DataFrame, group: Sequence[str], value: str, cells: int = CE
     """
     group = list(group)
     probs = [(i + 1) / cells for i in range(cells - 1)]
-    edges = materialise(df.groupBy(*group).agg(F.percentile_approx(value, probs, 1000).alias("_edges")))
+    found = df.groupBy(*group).agg(F.percentile_approx(value, probs, 1000).alias("_edges"), F.ceil(F.lit(cells) / F.ceil(F.count(F.lit(1)) / CELL_ROWS)).alias("_step"))
+    edges = materialise(found.select(*group, F.filter("_edges", lambda e, i: (i + 1) % F.col("_step") == 0).alias("_edges")))
     return df.join(edges, group).withColumn("_cell", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
 
 

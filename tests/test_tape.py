@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tapeloom.functions.numeric import ndigits, round_binary
-from tapeloom.operators import orders, series, tapes
+from tapeloom.operators import orders, ranks, series, tapes
 from tapeloom.streaming import state
 
 
@@ -96,3 +96,13 @@ def test_price_buffer_counts_rows_of_one_time_together():
     buffer.buffer = Empty()
     got = buffer.apply(("a",), pd.DataFrame({"us": [0, 5_000_000, 5_000_000], "seq": [1, 2, 3], "price": [1.0, 2.0, 6.0]}))
     assert got["held"].tolist() == [1, 3, 3] and got["mean"].tolist() == [1.0, 3.0, 3.0]
+
+
+def test_cells_follow_the_size_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "CELL_ROWS", 50)
+    p = pd.DataFrame({"g": ["a"] * 1000 + ["b"] * 40, "x": np.random.default_rng(6).permutation(1040).astype(float), "i": range(1040)})
+    df = spark.createDataFrame(p)
+    cells = ranks.value_cells(df, ["g"], "x").groupBy("g").agg(F.countDistinct("_cell").alias("n")).toPandas().set_index("g").n
+    assert cells["b"] == 1 and 15 <= cells["a"] <= 25
+    got = ranks.ordinal_rank(df, ["g"], "x", ["i"], "r").orderBy("i").toPandas()
+    assert (got.r == p.groupby("g").x.rank(ascending=False)).all()
