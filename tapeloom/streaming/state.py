@@ -8,6 +8,7 @@ and a timer clears a key that has been idle.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from tapeloom.functions.prob import choose_side
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MICRO = 1_000_000
+#: Rows that are Python objects at one time; more are held as columns only.
+SLICE = 16384
 
 
 def as_rows(pdf: pd.DataFrame, schema: T.StructType) -> list[tuple]:
@@ -29,6 +32,29 @@ def as_rows(pdf: pd.DataFrame, schema: T.StructType) -> list[tuple]:
     return list(zip(*columns))
 
 
+def as_frame(rows: Iterator[tuple], schema: T.StructType) -> pd.DataFrame:
+    """Rows of a state variable as columns, made slice by slice."""
+    rows, parts = iter(rows), []
+    while part := list(islice(rows, SLICE)):
+        made = pd.DataFrame(part, columns=schema.names)
+        for f in schema.fields:
+            if isinstance(f.dataType, T.IntegralType) and not made[f.name].isna().any():
+                made[f.name] = made[f.name].astype(np.int64)
+            elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+                made[f.name] = made[f.name].astype(float)
+        parts.append(made)
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=schema.names)
+
+
+def whole_times(rows: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    """Sorted rows in parts of ``size`` or a little more: rows of one time stay together."""
+    us, at = rows["us"].to_numpy(np.int64), 0
+    while at < len(us):
+        end = int(np.searchsorted(us, us[min(at + size, len(us)) - 1], side="right"))
+        yield rows.iloc[at:end].reset_index(drop=True)
+        at = end
+
+
 class InOrder(StatefulProcessor):
     """Base: ``columns`` of rows wait until the watermark passes their ``us`` (microseconds), then go to ``apply``.
 
@@ -45,35 +71,45 @@ class InOrder(StatefulProcessor):
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows))
-        self.waiting.appendList(as_rows(came, self.waiting_schema))
+        first = None
+        for came in rows:
+            self._store(self.waiting.appendList, came)
+            first = min(int(came["us"].min()), first if first is not None else int(came["us"].min()))
         # the first of the new rows: an earlier timer of this key stands already
-        self._wake(int(came["us"].min()))
+        if first is not None:
+            self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = pd.DataFrame(list(self.waiting.get()), columns=self.waiting_schema.names) if self.waiting.exists() else pd.DataFrame(columns=self.waiting_schema.names)
+        held = as_frame(self.waiting.get() if self.waiting.exists() else [], self.waiting_schema)
         due = held["us"] <= passed if len(held) else np.zeros(0, bool)
         rest = held[~due] if len(held) else held
-        out = []
+        named = lambda made: made.assign(**dict(zip(self.keys, key)))[[*self.keys, *self.output]]
         if len(held) and due.any():
-            out.append(self.apply(key, held[due].sort_values(self.order, ignore_index=True)))
+            ready = held[due].sort_values(self.order, ignore_index=True)
+            del held
+            for part in whole_times(ready, 4 * SLICE):
+                made = self.apply(key, part)
+                if made is not None and len(made):
+                    yield named(made)
+            self.waiting.clear()
             if len(rest):
-                self.waiting.put(as_rows(rest, self.waiting_schema))
-            else:
-                self.waiting.clear()
+                self._store(self.waiting.appendList, rest)
         done = self.idle()
         # rows that still wait are later than the watermark: they cannot undo what it has passed
         if done is not None and done <= passed:
-            out.append(self.expire(key, done))
+            made = self.expire(key, done)
+            if made is not None and len(made):
+                yield named(made)
         elif done is not None:
             self._wake(done)
         if len(rest):
             self._wake(int(rest["us"].min()))
-        for made in out:
-            if made is not None and len(made):
-                yield made.assign(**dict(zip(self.keys, key)))[[*self.keys, *self.output]]
+
+    def _store(self, put, rows: pd.DataFrame) -> None:
+        for at in range(0, len(rows), SLICE):
+            put(as_rows(rows.iloc[at : at + SLICE], self.waiting_schema))
 
     def _wake(self, us: int) -> None:
         self.handle.registerTimer(-(-us // 1000))

@@ -80,17 +80,21 @@ def streaming_ewma_variance(ticks: DataFrame, alpha: float, late: str) -> DataFr
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, var, n = state.get if state.exists else (float("nan"), float("nan"), 0)
         pdf = pd.concat(list(batches)).sort_values(["t", "seq"])
-        out = []
-        for seq, price in zip(pdf["seq"], pdf["price"]):
-            lp = float(np.log(price))
-            if np.isfinite(last):
-                sq = (lp - last) ** 2
-                var = sq if not np.isfinite(var) else (1 - alpha) * var + alpha * sq
-                n += 1
-            last = lp
-            out.append((key[0], int(seq), float(var), int(n)))
+        # columns, and a slice of rows at a time: no Python object lasts for each row of the batch
+        for at in range(0, len(pdf), 65536):
+            part = pdf.iloc[at : at + 65536]
+            variances, counts = np.full(len(part), np.nan), np.zeros(len(part), np.int64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                logs = np.log(part["price"].to_numpy(float))
+            for k, lp in enumerate(logs.tolist()):
+                if np.isfinite(last):
+                    sq = (lp - last) ** 2
+                    var = sq if not np.isfinite(var) else (1 - alpha) * var + alpha * sq
+                    n += 1
+                last = lp
+                variances[k], counts[k] = var, n
+            yield pd.DataFrame({"symbol": key[0], "seq": part["seq"].to_numpy(), "var": variances, "n": counts})
         state.update((float(last), float(var), int(n)))
-        yield pd.DataFrame(out, columns=["symbol", "seq", "var", "n"])
 
     timed = ticks.withWatermark("ts", late).select("symbol", "seq", "price", (F.unix_micros("ts") / 1000000).alias("t"))
     return timed.groupBy("symbol").applyInPandasWithState(step, "symbol STRING, seq BIGINT, var DOUBLE, n BIGINT", "last DOUBLE, var DOUBLE, n BIGINT", "append", GroupStateTimeout.NoTimeout)

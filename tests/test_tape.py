@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tapeloom.functions.numeric import ndigits, round_binary
 from tapeloom.operators import orders, ranks, series, tapes
@@ -106,3 +106,12 @@ def test_cells_follow_the_size_of_a_group(spark, monkeypatch):
     assert cells["b"] == 1 and 15 <= cells["a"] <= 25
     got = ranks.ordinal_rank(df, ["g"], "x", ["i"], "r").orderBy("i").toPandas()
     assert (got.r == p.groupby("g").x.rank(ascending=False)).all()
+
+
+def test_parts_of_a_key_keep_rows_of_one_time_together():
+    rows = pd.DataFrame({"us": [1, 2, 2, 2, 3, 5, 5], "seq": range(7)})
+    parts = list(state.whole_times(rows, 2))
+    assert [p["us"].tolist() for p in parts] == [[1, 2, 2, 2], [3, 5, 5]]
+    schema = T.StructType([T.StructField("us", T.LongType()), T.StructField("p", T.DoubleType())])
+    got = state.as_frame(iter([(k, None if k % 3 else 0.5) for k in range(state.SLICE + 5)]), schema)
+    assert len(got) == state.SLICE + 5 and got["us"].dtype == np.int64 and got["p"].isna().sum() == (got["us"] % 3 != 0).sum()
