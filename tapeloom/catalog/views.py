@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tapeloom.functions.numeric import round_binary
 from tapeloom.operators.asof import align_benchmark, asof_join
 from tapeloom.operators.resample import ticks_to_bars
+from tapeloom.operators.tapes import spread
 
 HOUR = 3600
 
@@ -96,10 +97,13 @@ def base(*more: str) -> str:
 EPOCH_1995 = 788918400
 
 
-def tape(spark: SparkSession, d: str) -> DataFrame:
+def tape(spark: SparkSession, d: str, *more: str, rows_per_task: int | None = None) -> DataFrame:
+    """Fills of all wallets, with further columns of lineitem; ``rows_per_task``: the fills of a tx in one task, so many rows in each."""
     li = table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag",
         "l_linestatus", "l_shipdate")
+    if rows_per_task:
+        li = spread(li, rows_per_task, "l_orderkey")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     price = F.least(F.lit(0.99), F.greatest(F.lit(0.01), round_binary(F.col("l_extendedprice") / 105000, 2)))
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -111,7 +115,8 @@ def tape(spark: SparkSession, d: str) -> DataFrame:
         (F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
          + (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 86400).alias("ts"),
         F.col("l_orderkey").alias("tx"),
-        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).alias("seq"))
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).alias("seq"),
+        *more)
 
 
 def tape_markets(spark: SparkSession, d: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Studies of the trade tape against brute force."""
 
+import re
+
+import duckdb
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
+from tapeloom.catalog import tape
 from tapeloom.functions.numeric import ndigits, round_binary
 from tapeloom.operators import orders, ranks, series, tapes
 from tapeloom.streaming import state
@@ -115,3 +119,43 @@ def test_parts_of_a_key_keep_rows_of_one_time_together():
     schema = T.StructType([T.StructField("us", T.LongType()), T.StructField("p", T.DoubleType())])
     got = state.as_frame(iter([(k, None if k % 3 else 0.5) for k in range(state.SLICE + 5)]), schema)
     assert len(got) == state.SLICE + 5 and got["us"].dtype == np.int64 and got["p"].isna().sum() == (got["us"] % 3 != 0).sum()
+
+
+def test_spread_rows_stay_spread(spark):
+    # small partitions would be merged into one otherwise
+    spread = tapes.spread(spark.range(20000), 1000, "id")
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1500
+
+
+def test_row_matching_reads_lines_once_in_tasks_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(tape, "MATCH_ROWS", 100, raising=False)
+    df = tape.Q["J28_row_matching"].spark(spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    tasks = [int(n) for n in re.findall(r"Exchange hashpartitioning\(l_orderkey#\w+, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert tasks == [60] and plan.count("/lineitem.parquet]") == 1
+
+
+def test_row_matching_of_odd_rows(spark, tmp_path):
+    lines = pd.DataFrame(
+        [(1, 5, 1, 2.0, 42000.0), (1, 5, 7, 3.0, 42000.0), (1, 6, 7, 1.0, 42000.0), (2, None, 1, 4.0, 42000.0), (2, 8, 1, None, 42000.0),
+         (2, 9, 1, 5.0, None), (3, 5, 1, 6.0, 104999.0), (3, 6, None, 6.0, 21000.0), (4, 5, 1, 7.0, 42000.0), (9, 5, 1, 8.0, 42000.0), (None, 5, 1, 9.0, 42000.0)],
+        columns=["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"]).astype({"l_orderkey": "Int64", "l_partkey": "Int64", "l_linenumber": "Int32"})
+    lines = lines.assign(l_suppkey=1, l_returnflag="N", l_linestatus="O", l_shipdate=pd.Timestamp("1995-01-01").as_unit("us"))
+    # an order twice for one wallet, for two wallets, and one without a wallet
+    owners = pd.DataFrame({"o_orderkey": [1, 1, 2, 3, 3, 4], "o_custkey": pd.array([10, 10, 20, 30, 31, None], "Int64")})
+    con = duckdb.connect()
+    for name, rows in (("lineitem", lines), ("orders", owners), ("part", pd.DataFrame({"p_partkey": [5], "p_brand": "b", "p_size": 1}))):
+        rows.to_parquet(tmp_path / f"{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    q = tape.Q["J28_row_matching"]
+    assert tuple(q.spark(spark, str(tmp_path)).first()) == con.execute(q.sql).fetchone()
+
+
+def test_row_matching_of_two_sources(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, 2.0, 0.5), ("a", 1, 1.0, 0.7), ("b", 1, 3.0, 0.6), ("a", 2, 1.0, 0.5), ("b", 2, 2.0, 0.5), ("a", 3, 1.0, 0.5), ("b", 4, 1.0, 0.5),
+         ("a", None, 1.0, 0.5), ("b", None, 1.0, 0.5)], "source string, tx long, size double, price double")
+    side = lambda s: (F.col("source") == s, F.col("size"), F.col("price"))
+    assert tuple(tapes.match_rows(rows, ["tx"], side("a"), side("b")).first()) == (4, 2, 0.5, 1.0)
