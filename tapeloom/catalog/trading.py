@@ -152,7 +152,8 @@ def _(spark, d):
 
 @q("D25_pair_summary", SCORED + "SELECT count(*) AS n_pairs, count(*) FILTER (k = 2) AS both, count(*) FILTER (k = 1) AS one, count(*) FILTER (k = 0) AS none FROM (SELECT sum(executed::INT) AS k FROM scored GROUP BY order_id // 10, level HAVING count(*) = 2)")
 def _(spark, d):
-    return orders.pair_summary(settled(spark, d).withColumn("p", F.floor(F.col("order_id") / 10)), ["p", "level"])
+    # whole division: the ids of large tables are beyond the whole numbers of a double
+    return orders.pair_summary(settled(spark, d).withColumn("p", F.expr("order_id div 10")), ["p", "level"])
 
 
 # -- rules on predictions --------------------------------------------------------------------------------------------------------

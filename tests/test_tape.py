@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-from tapeloom.catalog import tape
+from tapeloom.catalog import tape, trading
 from tapeloom.functions.numeric import ndigits, round_binary
 from tapeloom.operators import orders, ranks, series, tapes
 from tapeloom.streaming import state
@@ -74,6 +74,14 @@ def test_orders_move_once(spark):
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange REPARTITION") <= 2
 
 
+def test_pairs_of_orders_with_ids_beyond_doubles(spark, monkeypatch):
+    # neighbours of one double: as doubles they would be one group of four
+    first = 72_000_000_000_000_001
+    rows = [(10 * p + k, 0.35, k == 1) for p in (first, first + 1) for k in (1, 3)]
+    monkeypatch.setattr(trading, "settled", lambda spark, d: spark.createDataFrame(rows, "order_id long, level double, executed boolean"))
+    assert tuple(trading.QUERIES["D25_pair_summary"].spark(spark, "").first()) == (2, 0, 2, 0)
+
+
 def test_rounding_of_binary_halves(spark):
     # 0.285 is a little less than its shortest decimal form says
     r = spark.range(1).select(round_binary(F.lit(30975.0 - 1050.0) / 105000, 2).alias("a"), ndigits(F.lit(49.0453125)).alias("b"), ndigits(F.lit(float("inf"))).alias("c")).first()
