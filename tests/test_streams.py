@@ -127,3 +127,64 @@ def test_state_holds_one_window(spark):
         out = list(p.handleExpiredTimer(("k",), Times((start + 49) * 1000), None))
         assert len(out[0]) == 50 and len(p.buffer) == 10 and len(p.waiting) == 0
     assert list(p.handleExpiredTimer(("k",), Times(10**9), None)) == [] and len(p.buffer) == 0
+
+
+class Values(list):
+    """A list state without Spark."""
+
+    def exists(self):
+        return len(self) > 0
+
+    def get(self):
+        return iter(self)
+
+    def put(self, rows):
+        self[:] = rows
+
+    appendList, clear = list.extend, list.clear
+
+
+class Plain:
+    """A handle without Spark, and a watermark."""
+
+    def __init__(self):
+        self.ms = 0
+
+    def getListState(self, name, schema):
+        return Values()
+
+    def registerTimer(self, ms):
+        pass
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_waiting_rows_share_entries_and_late_ones_are_dropped(spark):
+    p, handle = state.PriceBuffer(["key"], 1000.0), Plain()
+    p.init(handle)
+    rows = pd.DataFrame({"us": np.arange(1000) * 1_000_000, "seq": np.arange(1000), "price": 1.0})
+    assert list(p.handleInputRows(("k",), iter([rows.sample(frac=1, random_state=1)]), handle)) == [] and len(p.waiting) == 1
+    handle.ms = 499_000
+    out = pd.concat(p.handleExpiredTimer(("k",), handle, None))
+    assert out.seq.tolist() == list(range(500)) and out.held.tolist() == list(range(1, 501)) and len(p.waiting) == 1
+    # packed rows, one of them after the watermark has passed it
+    more = pd.DataFrame({"us": [100_500_000, 700_500_000], "seq": [2000, 2001], "price": 1.0})
+    value = next(state.packed(more, p.waiting_schema))[0]
+    came = pd.DataFrame({"us": [700_500_000], "first_us": [100_500_000], "rows": [value]})
+    assert list(p.handleInputRows(("k",), iter([came]), handle)) == [] and len(p.waiting) == 2
+    handle.ms = 2_000_000
+    out = pd.concat(p.handleExpiredTimer(("k",), handle, None))
+    assert sorted(out.seq) == [*range(500, 1000), 2001] and out.held.iloc[-1] == 1001 and len(p.waiting) == len(p.buffer) == len(p.passed) == 0
+
+
+def test_rows_move_packed_and_appends_do_not_read(spark):
+    rows = spark.createDataFrame([("a", None if k == 3 else k, k, 0.5 * k) for k in range(50)] + [(None, 7, 9, 1.0)], "key string, us long, seq long, price double").coalesce(1)
+    schema = state.PriceBuffer(["key"], 1.0).waiting_schema
+    got = {r.key: r for r in state.pack(rows, ["key"], schema).collect()}
+    assert len(got) == 2 and (got["a"].us, got["a"].first_us) == (49, 0)
+    back = state.unpacked(iter([(got["a"].rows,)]), schema)
+    assert back.seq.tolist() == [k for k in range(50) if k != 3] and back.price.tolist() == [0.5 * k for k in range(50) if k != 3]
+    ticks = spark.readStream.format("rate").load().selectExpr("'a' AS key", "timestamp AS ts", "value AS seq", "1.0D AS price")
+    plan = state.price_buffer(ticks, ["key"], 1.0, "1 minute")._jdf.queryExecution().analyzed().toString()
+    assert "MapInPandas" in plan and spark.conf.get(state.COUNT_CONF) == "false"
