@@ -1,17 +1,22 @@
 """Exact quantiles, quintiles and empirical distributions of groups of any size.
 
 Rows are reduced to distinct values; approximate edges cut a group into cells, the counts of the cells say which cell
-holds a rank, and only the cells that hold a wanted rank are sorted. A task holds one cell.
+holds a rank, and only the cells that hold a wanted rank are sorted. A task holds one cell. For a handful of large groups
+two passes over the rows do, without a table of their distinct values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom.operators.ranks import cumulative_by_value, materialise, value_cells
 
+#: Approximate quantiles this far below and above a wanted place bracket it: their own error is at most 1 / ACCURACY.
+BRACKET, ACCURACY = 1 / 2048, 10_000
+
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], out: str = "q") -> DataFrame:
     """group, n, and an array of the quantiles, between neighbours by straight lines; rows whose value is NULL or NaN stay out."""
@@ -25,18 +30,51 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequ
     before = every.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = celled.groupBy(*group, "_cell").agg(F.sum("_c").alias("_in"))
     cells = cells.select(*group, "_cell", "_in", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_from"), F.sum("_in").over(every).alias("n"))
-    # both neighbours of each wanted place, counted from 0
-    places = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * p).cast("long"), F.ceil((F.col("n") - 1) * p).cast("long")) for p in probs])))
-    holding = cells.withColumn("_places", F.filter(places, lambda k: (k >= F.col("_from")) & (k < F.col("_from") + F.col("_in")))).where(F.size("_places") > 0)
+    holding = cells.withColumn("_places", F.filter(_places(probs), lambda k: (k >= F.col("_from")) & (k < F.col("_from") + F.col("_in")))).where(F.size("_places") > 0)
     inside = Window.partitionBy(*group, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     sorted_cells = celled.join(holding, [*group, "_cell"]).withColumn("_at", F.col("_from") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
     hit = F.filter("_places", lambda k: (k >= F.col("_at")) & (k < F.col("_at") + F.col("_c")))
-    found = sorted_cells.select(*group, "n", "_v", F.explode(hit).alias("_place"))
+    made = _quantiles(sorted_cells.select(*group, "n", "_v", F.explode(hit).alias("_place")), group, probs, out)
+    return made.drop("_all") if whole else made
+
+
+def few_groups_quantiles(df: DataFrame, group: Sequence[str], values: Sequence[str], probs: Sequence[float], out: str = "q") -> DataFrame:
+    """``exact_quantiles`` of several columns, named in ``_name``, for a handful of groups: two passes over the rows, which are not stored.
+
+    Values outside the brackets around the wanted places are counted only, those inside value by value; a task sorts a
+    bracket's distinct values.
+    """
+    key = [*group, "_name"]
+    rows = df.select(*group, F.inline(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in values])))
+    rows = rows.where("_v IS NOT NULL AND NOT isnan(_v)")
+    around = lambda shift: F.percentile_approx("_v", [min(max(p + shift, 0.0), 1.0) for p in probs], ACCURACY)
+    edges = materialise(rows.groupBy(*key).agg(around(-BRACKET).alias("_low"), around(BRACKET).alias("_high")))
+    # both counts never fall as the value rises, and differ inside a bracket only
+    begun, over = F.size(F.filter("_low", lambda e: e <= F.col("_v"))), F.size(F.filter("_high", lambda e: e < F.col("_v")))
+    celled = rows.join(F.broadcast(edges), key).select(*key, (begun + over).alias("_cell"), F.when(begun > over, F.col("_v")).alias("_v"))
+    counted = materialise(celled.groupBy(*key, "_cell", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    every = Window.partitionBy(*key)
+    before = F.coalesce(F.sum("_c").over(every.orderBy("_cell", "_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.withColumns({"_at": before, "n": F.sum("_c").over(every)})
+    hit = F.filter(_places(probs), lambda k: (k >= F.col("_at")) & (k < F.col("_at") + F.col("_c")))
+    found = materialise(placed.select(*key, "n", "_v", F.explode(hit).alias("_place")))
+    if not found.where("_v IS NULL").isEmpty():  # a bracket missed its place: the way for groups of every kind
+        each = [exact_quantiles(df, group, c, probs, out).withColumn("_name", F.lit(c)) for c in values]
+        return reduce(DataFrame.unionByName, each)
+    return _quantiles(found, key, probs, out)
+
+
+def _places(probs: Sequence[float]) -> Column:
+    """Both neighbours of each wanted place among ``n`` rows, counted from 0."""
+    return F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * p).cast("long"), F.ceil((F.col("n") - 1) * p).cast("long")) for p in probs])))
+
+
+def _quantiles(found: DataFrame, group: Sequence[str], probs: Sequence[float], out: str) -> DataFrame:
+    """The quantiles from the values found at the wanted places."""
     told = found.groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("_place", "_v"))).alias("_m"))
     low, high = (lambda p: F.floor((F.col("n") - 1) * p).cast("long")), (lambda p: F.ceil((F.col("n") - 1) * p).cast("long"))
     between = lambda p: F.col("_m")[low(p)] + ((F.col("n") - 1) * p - low(p)) * (F.col("_m")[high(p)] - F.col("_m")[low(p)])
-    made = told.select(*group, "n", F.array(*[between(float(p)) for p in probs]).alias(out))
-    return made.drop("_all") if whole else made
+    return told.select(*group, "n", F.array(*[between(float(p)) for p in probs]).alias(out))
 
 
 def regime(df: DataFrame, group: Sequence[str], value: str, train: Column, n: int = 5, out: str = "quintile") -> DataFrame:

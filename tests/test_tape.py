@@ -9,7 +9,7 @@ from pyspark.sql import functions as F, types as T
 
 from tapeloom.catalog import tape, trading
 from tapeloom.functions.numeric import ndigits, round_binary
-from tapeloom.operators import orders, ranks, series, tapes
+from tapeloom.operators import ledger, orders, quantile, ranks, series, tapes
 from tapeloom.streaming import state
 
 
@@ -82,6 +82,36 @@ def test_pairs_of_orders_with_ids_beyond_doubles(spark, monkeypatch):
     assert tuple(trading.QUERIES["D25_pair_summary"].spark(spark, "").first()) == (2, 0, 2, 0)
 
 
+def test_medians_of_a_profile_store_brackets_only(spark, monkeypatch):
+    sizes, kept = [], quantile.materialise
+
+    def watched(df):
+        out = kept(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(quantile, "materialise", watched)
+    rng = np.random.default_rng(8)
+    n = 20001
+    t = pd.DataFrame({"wallet": rng.integers(0, 50, n), "role": "taker", "side": "BUY", "price": 0.5, "size": rng.integers(1, 9, n).astype(float), "t_rel": rng.permutation(n) * 7 - 900})
+    got = {r.is_top: r for r in tapes.profile(spark.createDataFrame(t), spark.createDataFrame([(3,), (4,)], "wallet long")).collect()}
+    for top, own in t.groupby(t.wallet.isin([3, 4])):
+        assert (got[top].n_fills, got[top].size_p50, got[top].t_rel_p50) == (len(own), own["size"].median(), own.t_rel.median())
+    assert max(sizes) < 1000
+
+
+def test_quantiles_of_few_groups(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    p = pd.DataFrame({"g": ["a"] * 9000 + ["b"] * 4 + ["c"], "x": np.round(rng.normal(size=9005), 3), "y": rng.integers(-3, 3, 9005).astype(float)})
+    df = spark.createDataFrame(p).withColumn("x", F.when(F.col("y") != 2, F.col("x")))
+    probs = [0.0, 0.3, 0.5, 0.9999, 1.0]
+    want = {(g, c): np.quantile(own.loc[own.y != 2, c] if c == "x" else own[c], probs) for g, own in p.groupby("g") for c in ("x", "y") if c == "y" or (own.y != 2).any()}
+    for bracket in (quantile.BRACKET, -0.1):  # with the second none is found in its bracket
+        monkeypatch.setattr(quantile, "BRACKET", bracket)
+        got = {(r.g, r["_name"]): r.q for r in quantile.few_groups_quantiles(df, ["g"], ["x", "y"], probs).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
+
+
 def test_rounding_of_binary_halves(spark):
     # 0.285 is a little less than its shortest decimal form says
     r = spark.range(1).select(round_binary(F.lit(30975.0 - 1050.0) / 105000, 2).alias("a"), ndigits(F.lit(49.0453125)).alias("b"), ndigits(F.lit(float("inf"))).alias("c")).first()
