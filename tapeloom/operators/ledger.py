@@ -86,13 +86,17 @@ def wallet_market_pnl(trades: DataFrame, fee_rate: float = FEE_RATE, rebate_rate
 
 
 def hourly_wallet_table(pnl: DataFrame, step_s: int = 3600) -> DataFrame:
-    """Per (hour of the window start, wallet) sums, win rate and the rank of the wallet in the hour."""
+    """Per (hour of the window start, wallet) sums, win rate and the rank of the wallet in the hour.
+
+    Sums run over the sorted values of a wallet's markets: the last bit decides ranks of equal P&L, and must not follow the
+    order in which tasks hand rows over.
+    """
+    total = lambda c: F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda a, x: a + x)
     hour = (F.floor(F.col("window_start") / step_s) * step_s).alias("hour")
     out = pnl.groupBy(hour, "wallet").agg(
-        F.sum("pnl").alias("pnl"), *[F.sum(c).alias(c) for c in ("pnl_incl_rebate",) if c in pnl.columns], F.sum("fees").alias("fees"),
-        F.sum("volume").alias("volume"), F.countDistinct("condition").alias("n_markets"),
+        *[total(c).alias(c) for c in ("pnl", "pnl_incl_rebate", "fees", "volume") if c in pnl.columns], F.countDistinct("condition").alias("n_markets"),
         F.sum("n_trades").alias("n_trades"), F.count(F.when(F.col("pnl") > 0, 1)).alias("n_wins"),
-        F.sum("taker_notional").alias("_taker"), F.percentile("first_t_rel", F.lit(0.5)).alias("first_t_rel_median"),
+        total("taker_notional").alias("_taker"), F.percentile("first_t_rel", F.lit(0.5)).alias("first_t_rel_median"),
         F.array_join(F.array_sort(F.collect_set("asset")), ",").alias("assets"),
     )
     return (

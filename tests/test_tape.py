@@ -1,5 +1,6 @@
 """Studies of the trade tape against brute force."""
 
+import itertools
 import re
 
 import duckdb
@@ -82,6 +83,17 @@ def test_pairs_of_orders_with_ids_beyond_doubles(spark, monkeypatch):
     assert tuple(trading.QUERIES["D25_pair_summary"].spark(spark, "").first()) == (2, 0, 2, 0)
 
 
+def test_ranks_of_equal_sums_do_not_follow_the_order_of_rows(spark):
+    # 0.1 + 0.2 + 0.3 has another last bit in another order
+    base = {"window_start": 0, "fees": 0.0, "volume": 1.0, "n_trades": 1, "taker_notional": 0.0, "first_t_rel": 1, "asset": "a"}
+    ranks_of = set()
+    for order in itertools.permutations([0.1, 0.2, 0.3]):
+        rows = pd.DataFrame([{**base, "wallet": 2, "condition": k, "pnl": x} for k, x in enumerate(order)] + [{**base, "wallet": 1, "condition": 9, "pnl": 0.6000000000000001}])
+        got = ledger.hourly_wallet_table(spark.createDataFrame(rows).coalesce(1)).collect()
+        ranks_of.add(tuple(sorted((r.wallet, r.rank_pnl, r.pnl) for r in got)))
+    assert ranks_of == {((1, 1, 0.6000000000000001), (2, 2, 0.1 + 0.2 + 0.3))}
+
+
 def test_medians_of_a_profile_store_brackets_only(spark, monkeypatch):
     sizes, kept = [], quantile.materialise
 
